@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP3_SQL, op3_prefix_targets
 from .mixing import OP10_SQL, op10_systematic_mix
+from .sharding import op4_histogram_sort
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_systematic_mix,)}
+    found = (op3_prefix_targets, op4_histogram_sort, op10_systematic_mix)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_systematic_mix": OP10_SQL}
+    return {"op3_prefix_targets": OP3_SQL, "op10_systematic_mix": OP10_SQL}
