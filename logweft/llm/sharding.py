@@ -52,58 +52,62 @@ def histogram(df: DataFrame, key: str, size: str, probes: list[int]) -> list[tup
     return sorted(tuple(r) for r in found)
 
 
-def refine(df: DataFrame, key: str, size: str, wanted: list[float], tolerance: float, fanout: int = 16) -> list[tuple[int, int, int]]:
-    """For each wanted number of bytes (lo, bytes below lo, hi): the boundary lies at lo if settled
-    (hi == lo), or somewhere inside the rows of the single key lo (hi == lo + 1)."""
-    if not wanted:
-        return []
-    first = histogram(df, key, size, [])
+def refine(df: DataFrame, key: str, size: str, wanted: list[float], tolerance: float, fanout: int = 16) -> list[tuple[int, int, int, int]]:
+    """For each wanted number of bytes (lo, bytes below lo, hi, bytes below hi): the boundary lies at
+    lo if settled (hi == lo), else inside the rows of the single key lo (hi == lo + 1)."""
+    first = histogram(df, key, size, []) if wanted else []
     if not first:
-        return [(LOW, 0, LOW)] * len(wanted)
+        return [(LOW, 0, LOW, 0)] * len(wanted)
     total, least, most = first[0][1], first[0][3], first[0][4]
     open_ = {j: (least, 0, most + 1, total) for j in range(len(wanted))}
-    done: dict[int, tuple[int, int, int]] = {}
-    while open_:
+    done: dict[int, tuple[int, int, int, int]] = {}
+    while True:
         for j, (lo, below, hi, upto) in list(open_.items()):
-            for at, b in ((lo, below), (hi, upto)):
+            for at, b in ((hi, upto), (lo, below)):
                 if abs(b - wanted[j]) <= tolerance:
-                    done[j] = (at, b, at)
+                    done[j] = (at, b, at, b)
             if j not in done and hi - lo <= 1:
-                done[j] = (lo, below, hi)
+                done[j] = (lo, below, hi, upto)
             if j in done:
                 del open_[j]
         if not open_:
-            break
-        probes = sorted({lo + (hi - lo) * i // (fanout + 1) for lo, _, hi, _ in open_.values() for i in range(1, fanout + 1)} | {x for lo, _, hi, _ in open_.values() for x in (lo, hi)})
-        probes = [p for p in probes if LOW < p < HIGH]
-        buckets = histogram(df, key, size, probes)
-        for j, (lo, below, hi, upto) in open_.items():
+            return [done[j] for j in range(len(wanted))]
+        spans = {(lo, hi) for lo, _, hi, _ in open_.values()}
+        probes = sorted({lo + (hi - lo) * i // (fanout + 1) for lo, hi in spans for i in range(fanout + 2)})
+        buckets = histogram(df, key, size, [p for p in probes if LOW < p < HIGH])
+        for j in open_:
             run = 0
-            for _, b, _, k_lo, k_hi in buckets:  # the last bucket that starts at or below the wanted bytes
-                if run + b > wanted[j]:
+            for _, b, _, k_lo, k_hi in buckets:  # the bucket that holds the wanted byte, cut to its keys
+                if run + b > wanted[j] or (k_lo, k_hi) == buckets[-1][3:]:
                     open_[j] = (k_lo, run, k_hi + 1, run + b)
                     break
                 run += b
-            else:
-                open_[j] = (hi, upto, hi, upto)
-    return [done[j] for j in range(len(wanted))]
+
+
+def nearest(place: tuple[int, int, int, int], wanted: float) -> int:
+    lo, below, hi, upto = place
+    return min(lo if wanted - below <= upto - wanted else hi, HIGH - 1)
 
 
 def splitters(df: DataFrame, size: str, n_shards: int, tolerance: float) -> list[Splitter]:
-    """n_shards - 1 boundaries (hash of text, hash of id); rows at or above a boundary lie beyond it."""
-    total = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    """n_shards - 1 boundaries (hash of text, hash of id); rows at or above a boundary lie beyond it.
+
+    A group of equal texts no larger than the largest single row goes whole to the nearer side, so a
+    boundary is off by half the largest row at most; only larger groups are split."""
+    total, largest = df.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
     ideal = total / n_shards
     wanted = [ideal * j for j in range(1, n_shards)]
     found = refine(df, "__k1", size, wanted, tolerance * ideal)
-    out: list[Splitter] = [(lo, LOW) for lo, _, _ in found]
+    out: list[Splitter] = [(nearest(x, w), LOW) for x, w in zip(found, wanted, strict=True)]
     inside: dict[int, list[int]] = {}
-    for j, (lo, _, hi) in enumerate(found):
-        if hi > lo:
+    for j, (lo, below, hi, upto) in enumerate(found):
+        if hi > lo and upto - below > largest:
             inside.setdefault(lo, []).append(j)
     for k, js in inside.items():
-        group, base = df.where(F.col("__k1") == k), found[js[0]][1]
-        for j, (lo, b, hi) in zip(js, refine(group, "__k2", size, [wanted[j] - base for j in js], tolerance * ideal), strict=True):
-            out[j] = (k, lo if hi == lo or wanted[j] - base <= b else lo + (hi - lo > 0 and wanted[j] - base > b))
+        rest = [wanted[j] - found[j][1] for j in js]
+        group = refine(df.where(F.col("__k1") == k), "__k2", size, rest, tolerance * ideal)
+        for j, x, w in zip(js, group, rest, strict=True):
+            out[j] = (k, nearest(x, w))
     return sorted(out)
 
 
@@ -125,14 +129,11 @@ def shard_of(df: DataFrame, bounds: list[Splitter], out: str) -> DataFrame:
 
 
 def histogram_shards(docs: DataFrame, text: str, doc_id: str, n_shards: int, tolerance: float = 0.002) -> DataFrame:
-    """Adds size (UTF-8 bytes + 16), text_crc32, shard and slot to ``docs``, in shards of near equal bytes.
-
-    The searches read a narrow written table of keys and sizes; ``docs`` itself moves once."""
+    """Adds size (UTF-8 bytes + 16), text_crc32, shard and slot to ``docs`` and drops the text; shards
+    have near equal bytes. The searches read a written table of keys and sizes; its rows move once."""
     t = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.withColumns({"size": (F.octet_length(t) + 16).cast("bigint"), "text_crc32": F.crc32(t.cast("binary")), "__k1": F.xxhash64(t), "__k2": F.xxhash64(doc_id)})
-    if text not in (doc_id,):
-        keyed = keyed.drop(text)
-    narrow = written(keyed, "keys")
+    narrow = written(keyed.drop(text), "keys")
     placed = shard_of(narrow, splitters(narrow, "size", n_shards, tolerance), "shard")
     return rank_within(placed, ["shard"], F.pmod("__k2", F.lit(16)), [F.col("__k1"), F.col("__k2"), F.col(doc_id)], "slot").drop("__k1", "__k2")
 
