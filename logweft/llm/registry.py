@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP3_SQL, op3_prefix_targets
 from .mixing import OP10_SQL, op10_systematic_mix
+from .quality import op7_robust_outliers
 from .sharding import op4_histogram_sort
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_prefix_targets, op4_histogram_sort, op10_systematic_mix)
+    found = (
+        op3_prefix_targets,
+        op4_histogram_sort,
+        op7_robust_outliers,
+        op10_systematic_mix,
+    )
     return {f.__name__: f for f in found}
 
 
