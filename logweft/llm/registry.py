@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP3_SQL, op3_prefix_targets
+from .fingerprints import op9_simhash_fingerprints
 from .mixing import OP10_SQL, op10_systematic_mix
 from .quality import op7_robust_outliers
 from .sharding import op4_histogram_sort
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_prefix_targets,
         op4_histogram_sort,
         op7_robust_outliers,
+        op9_simhash_fingerprints,
         op10_systematic_mix,
     )
     return {f.__name__: f for f in found}
