@@ -101,21 +101,18 @@ def components(edges: DataFrame) -> DataFrame:
     no neighbour list is ever built. Each turn is a table in the shared folder, and only its size and
     a checksum reach the driver. Nodes without an edge are not listed.
     """
-    spark = edges.sparkSession
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
     mark = None
     while True:
         both = now.union(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy("hi").agg(F.least(F.min("lo"), F.col("hi")).alias("m"))
+        least = written(both.groupBy("hi").agg(F.least(F.min("lo"), F.col("hi")).alias("m")), "least")
         large = both.join(least, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        large = large.where("hi <> lo").distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = written(large.where("hi <> lo").distinct(), "large")
+        least = written(large.groupBy("hi").agg(F.min("lo").alias("m")), "least")
         small = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        small = small.union(least.select("hi", F.col("m").alias("lo"))).where("hi <> lo")
-        small = small.select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct()
-        now = written(small, "star")
-        row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if mark == tuple(row):
+        now = written(small.union(least.select("hi", F.col("m").alias("lo"))).distinct(), "star")
+        row = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+        if mark == row:
             break
-        mark = tuple(row)
+        mark = row
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

@@ -93,9 +93,9 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     ranged = docs.withColumn("__range", id_ranges(docs, "doc_id"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
     within = Window.partitionBy("__range").orderBy(*order)
-    tops = ranged.groupBy("__range").agg(F.max("doc_id").alias("doc_id"))
-    key = [tops["__range"] == ranged["__range"], tops["doc_id"].eqNullSafe(ranged["doc_id"])]
-    firsts = ranged.join(tops, key, "left_semi").groupBy("__range").agg(F.min("text").alias("first"))
+    tops = [r[0] for r in ranged.groupBy("__range").agg(F.max("doc_id")).select("max(doc_id)").collect()]  # one id a range
+    firsts = ranged.where(F.col("doc_id").isin([x for x in tops if x is not None]) | F.col("doc_id").isNull())
+    firsts = firsts.groupBy("__range").agg(F.min("text").alias("first"))
     down = Window.orderBy(F.desc("__range"))
     every = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = firsts.select("__range", F.coalesce(F.lead("first").over(down), F.first("first").over(every)).alias("__beyond"))

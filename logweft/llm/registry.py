@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import OP3_SQL, op3_prefix_targets
 from .fingerprints import op9_simhash_fingerprints
 from .mixing import OP10_SQL, op10_systematic_mix
+from .neardup import op5_bktree_neardup
 from .quality import op7_robust_outliers
 from .sharding import op4_histogram_sort
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op3_prefix_targets,
         op4_histogram_sort,
+        op5_bktree_neardup,
         op7_robust_outliers,
         op9_simhash_fingerprints,
         op10_systematic_mix,
