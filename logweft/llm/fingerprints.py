@@ -33,19 +33,19 @@ LANES = 0x0000000100000001
 GAPS = r"[\x20\x09-\x0D]+"
 
 
-def votes(term: Column) -> list[Column]:
-    """Aggregates over exploded terms: the votes of bits k and k + 32 for k from 0 to 31, and all weight."""
-    h, w = F.xxhash64(term), F.char_length(term).cast("bigint")
-    return [F.sum(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(LANES)) * w).alias(f"__v{k}") for k in range(32)] + [F.sum(w).alias("__w")]
+def votes(h: str, w: str) -> list[Column]:
+    """Aggregates over the terms' hashes and weights: the votes of bits k and k + 32, and all weight."""
+    return [F.sum(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(LANES)) * F.col(w)).alias(f"__v{k}") for k in range(32)] + [F.sum(w).alias("__w")]
 
 
 def decided() -> Column:
-    """The 64-bit fingerprint from the aggregates of votes()."""
+    """The 64-bit fingerprint from the aggregates of votes(): weight - 2 * votes is negative, so its
+    sign bit 1, exactly where over half of the weight has the bit."""
     bits = []
     for k in range(32):
         v = F.col(f"__v{k}")
         for bit, n in ((k, v.bitwiseAND(F.lit(0xFFFFFFFF))), (k + 32, F.shiftrightunsigned(v, 32))):
-            bits.append(F.when(2 * n > F.col("__w"), F.lit(1 << bit if bit < 63 else -(1 << 63))).otherwise(F.lit(0)))
+            bits.append(F.shiftleft(F.shiftrightunsigned(F.col("__w") - 2 * n, 63), bit))
     return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
@@ -114,7 +114,8 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     texts = F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text"))))
     told = pairs.select("__range", "__place", "doc_id", F.char_length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), texts.alias("x"))
     terms = told.select(*keys, "x.which", F.explode(F.split("x.text", GAPS)).alias("term"))
-    both = terms.groupBy(*keys, "which").agg(*votes(F.col("term"))).select(*keys, "which", decided().alias("fp"))
+    terms = terms.select(*keys, "which", F.xxhash64("term").alias("h"), F.char_length("term").cast("bigint").alias("w"))
+    both = terms.groupBy(*keys, "which").agg(*votes("h", "w")).select(*keys, "which", decided().alias("fp"))
     return both.groupBy(*keys).agg(F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("edited_fp"))
 
 
