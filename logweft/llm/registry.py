@@ -10,6 +10,7 @@ from .chat import OP3_SQL, op3_prefix_targets
 from .fingerprints import op9_simhash_fingerprints
 from .mixing import OP10_SQL, op10_systematic_mix
 from .neardup import op5_bktree_neardup
+from .packing import op6_histogram_best_fit
 from .quality import op7_robust_outliers
 from .sharding import op4_histogram_sort
 
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_prefix_targets,
         op4_histogram_sort,
         op5_bktree_neardup,
+        op6_histogram_best_fit,
         op7_robust_outliers,
         op9_simhash_fingerprints,
         op10_systematic_mix,
