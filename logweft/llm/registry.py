@@ -13,10 +13,12 @@ from .neardup import op5_bktree_neardup
 from .packing import op6_histogram_best_fit
 from .quality import op7_robust_outliers
 from .sharding import op4_histogram_sort
+from .toxicity import op2_nearest_toxic
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        op2_nearest_toxic,
         op3_prefix_targets,
         op4_histogram_sort,
         op5_bktree_neardup,
