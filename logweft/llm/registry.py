@@ -11,6 +11,7 @@ from .fingerprints import op9_simhash_fingerprints
 from .mixing import OP10_SQL, op10_systematic_mix
 from .neardup import op5_bktree_neardup
 from .packing import op6_histogram_best_fit
+from .pii import op8_contextual_pii
 from .quality import op7_robust_outliers
 from .sharding import op4_histogram_sort
 from .toxicity import op2_nearest_toxic
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_bktree_neardup,
         op6_histogram_best_fit,
         op7_robust_outliers,
+        op8_contextual_pii,
         op9_simhash_fingerprints,
         op10_systematic_mix,
     )
