@@ -123,7 +123,8 @@ def op9_simhash_fingerprints(spark: SparkSession, sf_dir: str, radius: int = 3)
     """near_docs (a further column): for ids divisible by 100, the documents whose fingerprint is within
     ``radius`` bits, itself included; null for other rows."""
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    table = written(fingerprint_table(docs), "fingerprints")
+    # dealt anew before writing: the votes' tasks are many, their rows narrow, so fewer tasks write files
+    table = written(fingerprint_table(docs).repartition("__range", "__place"), "fingerprints")
     within = Window.partitionBy("__range").orderBy("__place")
     down = Window.orderBy(F.desc("__range"))
     every = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
