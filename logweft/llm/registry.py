@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP3_SQL, op3_prefix_targets
 from .fingerprints import op9_simhash_fingerprints
+from .lm import op1_elias_fano_lm
 from .mixing import OP10_SQL, op10_systematic_mix
 from .neardup import op5_bktree_neardup
 from .packing import op6_histogram_best_fit
@@ -19,6 +20,7 @@ from .toxicity import op2_nearest_toxic
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        op1_elias_fano_lm,
         op2_nearest_toxic,
         op3_prefix_targets,
         op4_histogram_sort,
