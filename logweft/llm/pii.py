@@ -160,6 +160,7 @@ def personal_data(docs: DataFrame, columns: list[str], **options: float) -> Data
     accepted = written(discovered(table.select(F.explode("seen").alias("s")).select("s.kind", "s.patterns", "s.value"), **options), "accepted")
     places = table.select("__uid", F.explode(F.filter("seen", lambda s: s["kind"] < 0)).alias("s")).select("__uid", "s.start", "s.stop", "s.value")
     new = places.join(accepted, "value").groupBy("__uid").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("__new"))
+    new = written(new, "new")  # few rows of known size: joined without moving the documents
     none = F.array().cast("array<struct<start: bigint, kind: int, stop: bigint>>")
     return table.join(new, "__uid", "left").select(*columns, "base", F.array_sort(F.concat("base", F.coalesce("__new", none))).alias("spans"))
 
