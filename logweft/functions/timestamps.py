@@ -41,10 +41,10 @@ def extract_timestamp(line: Column, tz_offset_seconds: int = 0, default_year: in
     found = []
     for pattern, fmt, _ in FORMATS:
         text = F.nullif(F.regexp_extract(prefix, pattern, 0), F.lit(""))
-        found.append(wall_seconds(F.try_to_timestamp(text, F.lit(fmt))))
+        found.append(F.unix_seconds(F.try_to_timestamp(F.concat(text, F.lit("Z")), F.lit(fmt + "X"))))
     if default_year is not None:
         text = F.nullif(F.regexp_extract(prefix, YEARLESS, 0), F.lit(""))
-        found.append(wall_seconds(F.try_to_timestamp(F.concat(F.lit(f"{default_year} "), text), F.lit("yyyy MMM dd HH:mm:ss"))))
+        found.append(F.unix_seconds(F.try_to_timestamp(F.concat(F.lit(f"{default_year} "), text, F.lit("Z")), F.lit("yyyy MMM dd HH:mm:ssX"))))
     return F.coalesce(*found) - F.lit(tz_offset_seconds).cast("bigint")
 
 
