@@ -84,7 +84,7 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 e AS (SELECT *, length(role) + length(replace(replace(role, '\', '\\'), '<|', '<\|')) - length(role) + length(role) - length(replace(role, chr(10), ''))
              + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 24 AS chars,
              row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n
-      FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+      FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
 p AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM e)
 SELECT conv_id, max(n)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,

@@ -1,0 +1,542 @@
+"""Each operator against a brute-force version, on awkward rows and on empty tables."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import math
+import random
+import re
+import struct
+import zlib
+from collections.abc import Callable
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logweft.llm import chat, common, elias_fano, fingerprints, lm, mixing, neardup, packing, pii, quality, registry, sharding, toxicity
+
+from .conftest import edge_rows
+
+QUERIES = registry.queries()
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def words(text: str | None) -> list[str]:
+    return WORD.findall(text or "")
+
+
+def lowered(text: str | None) -> list[bytes]:
+    return [re.sub(b"[A-Z]", lambda m: m[0].lower(), w.encode()) for w in words(text)]
+
+
+def rows(df: DataFrame) -> list:
+    return df.collect()
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_empty_tables(spark: SparkSession, empty: str, edge: str, name: str) -> None:
+    out = QUERIES[name](spark, empty)
+    assert out.count() == (1 if name.startswith("op3") else 0)  # op3 adds a conversation
+    assert out.dtypes == QUERIES[name](spark, edge).dtypes
+
+
+@pytest.mark.parametrize("name", list(registry.oracle_sql()))
+def test_sql(spark: SparkSession, edge: str, sf: str, name: str) -> None:
+    for folder in (edge, sf):
+        df = QUERIES[name](spark, folder)
+        con = duckdb.connect()
+        for t in ("documents", "conversations", "labels"):
+            con.sql(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet{'/*.parquet' if folder == edge else ''}')")
+        found = con.sql(registry.oracle_sql()[name])
+        cols = df.columns
+        want = sorted(map(repr, found.select(", ".join(cols)).fetchall()))
+        assert sorted(repr(tuple(r)) for r in rows(df)) == want
+
+
+# 1: language model
+
+
+def reference_lm(texts: list[str | None], train: list[bool], least: int = 2, m2: float = 200.0, m3: float = 50.0) -> tuple:
+    docs = [[*lowered(t), b"\n"] for t in texts]
+    c1: collections.Counter = collections.Counter()
+    c2: collections.Counter = collections.Counter()
+    c3: collections.Counter = collections.Counter()
+    for d, k in zip(docs, train, strict=True):
+        if k:
+            s = [None, *d]
+            c1.update(d)
+            c2.update(zip(s, s[1:], strict=False))
+            c3.update(zip(s, s[1:], s[2:], strict=False))
+    total, kinds, starts = sum(c1.values()), len(c1), sum(train)
+    c2 = collections.Counter({k: v for k, v in c2.items() if v >= least})
+    c3 = collections.Counter({k: v for k, v in c3.items() if v >= least})
+    k2: collections.Counter = collections.Counter()
+    k3: collections.Counter = collections.Counter()
+    for (a, _), v in c2.items():
+        k2[a] += v
+    for (a, b, _), v in c3.items():
+        k3[a, b] += v
+    ground = lambda w: (c1[w] + 0.1) / (total + 0.1 * (kinds + 1))
+
+    def two(v: bytes | None, w: bytes) -> float:
+        c = starts if v is None else c1[v]
+        return (c2[v, w] + (m2 + c - k2[v]) * ground(w)) / (c + m2) if v is None or v in c1 else ground(w)
+
+    def three(u: bytes | None, v: bytes, w: bytes) -> float:
+        c = c2[u, v]
+        return (c3[u, v, w] + (m3 + c - k3[u, v]) * two(v, w)) / (c + m3) if c else two(v, w)
+
+    base = [sum(math.log10(ground(w)) for w in d) for d in docs]
+    full = [math.log10(two(None, d[0])) + sum(math.log10(three(*x)) for x in zip([None, *d], d, d[1:], strict=False)) for d in docs]
+    return total, base, full, [sum(w in c1 for w in d) for d in docs]
+
+
+def test_lm_against_counts(spark: SparkSession, edge: str, sf: str) -> None:
+    for folder in (edge, sf):
+        docs = rows(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
+        train = [zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 10 != 0 for r in docs]
+        total, base, full, known = reference_lm([r.text for r in docs], train)
+        want = sorted((-1 if r.doc_id is None else r.doc_id, len(words(r.text)) + 1, k, not t, b, f) for r, k, t, b, f in zip(docs, known, train, base, full, strict=True))
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.held_out, r.base_score, r.score, r.train_tokens) for r in rows(lm.op1_elias_fano_lm(spark, folder)))
+        assert len(got) == len(want)
+        for g, w in zip(got, want, strict=True):
+            assert g[:4] == w[:4] and g[6] == total
+            assert math.isclose(g[4], w[4], rel_tol=1e-9)
+            assert abs(g[5] - w[5]) <= 0.03 * g[1]  # codes are 0.04 apart
+
+
+def test_lm_shards_do_not_change_scores(spark: SparkSession, sf: str) -> None:
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = docs.select(F.col("text").cast("binary").alias("text"))
+    scores = []
+    for each, flush in ((1 << 40, 1 << 40), (3000, 20000)):
+        model = lm.train(texts, each=each, flush=flush)
+        scores.append({r.doc_id: r.score for r in rows(lm.score(docs, model, ["doc_id"]))})
+    assert len(model.bounds) > 10 and scores[0] == scores[1]
+
+
+def test_lm_tokens() -> None:
+    rng = random.Random(1)
+    for block in (8, 64, 1 << 22):
+        texts = [None if rng.random() < 0.1 else " ".join(rng.choice(["aB", "ab", "\t", "\x0b", "é", "\x1c", "Zz" * rng.randint(1, 20), ""]) for _ in range(rng.randint(0, 12))).encode() for _ in range(200)]
+        whole = b"".join(t or b"" for t in texts)
+        bounds = np.cumsum([0, *(len(t or b"") for t in texts)])
+        _, hashes = lm.word_hashes(np.frombuffer(whole, np.uint8), bounds, block)
+        flat = [w for t in texts for w in (t or b"").lower().split()]
+        assert len(hashes) == len(flat) and len(set(zip(hashes.tolist(), flat, strict=True))) == len(set(flat)) == len(set(hashes.tolist()))
+        got, lengths = lm.tokens(pa.array([b"before", *texts], pa.binary()).slice(1))
+        assert lengths.tolist() == [len((t or b"").split()) + 1 for t in texts] and len(got) == lengths.sum()
+
+
+def test_elias_fano() -> None:
+    rng = np.random.default_rng(1)
+    for n, u in ((0, 1), (1, 1), (5, 3), (1000, 100), (1000, 10**6), (20000, 10**12), (3000, 1 << 45)):
+        v = np.sort(rng.integers(0, u, n))
+        e = elias_fano.EliasFano.build(v)
+        if n:
+            assert (e.access(np.arange(n)) == v).all()
+            assert e.low.nbytes + e.high.nbytes <= n * (3 + max(0, math.log2(u / n))) / 8 + 64
+        x = np.concatenate((rng.integers(0, 2 * u, 300), v[:200], v[:200] + 1))
+        at, same = e.successor(x)
+        assert (at == np.searchsorted(v, x)).all() and (same == np.isin(x, v)).all()
+    for _ in range(20):
+        k = np.unique(rng.integers(0, 50, 800) * 10**9 + rng.integers(0, 5000, 800))
+        lists = elias_fano.Lists.build(50, k // 10**9, k % 10**9)
+        q = np.sort(np.concatenate((k, rng.integers(0, 50, 800) * 10**9 + rng.integers(0, 6000, 800))))
+        at = np.minimum(np.searchsorted(k, q), len(k) - 1)
+        assert (lists.find(q // 10**9, q % 10**9) == np.where(k[at] == q, at, -1)).all()
+
+
+# 2: toxicity
+
+
+def test_index_is_exact() -> None:
+    rng = random.Random(2)
+    idf = {f"t{i}".encode(): 1 + rng.random() * 3 for i in range(30)}
+    draw = lambda: {t: rng.randint(1, 4) for t in rng.sample(sorted(idf), rng.randint(1, 6))}
+    vectors = [draw() for _ in range(700)]
+    index = toxicity.Index(idf, vectors, [rng.randint(0, 1) for _ in vectors], block=16)
+    units = [dict(index.unit(v)) for v in vectors]
+    for _ in range(100):
+        q = draw()
+        mine = dict(index.unit(q))
+        all_ = sorted(((-sum(w * u.get(t, 0) for t, w in mine.items()), i) for i, u in enumerate(units)))[:9]
+        ids, cos = index.nearest(q, 9)
+        want = [(i, -c) for c, i in all_ if c < 0]
+        assert np.allclose(cos, [c for _, c in want]) and len(ids) == len(want)
+        clear = [j for j in range(len(want)) if all(abs(want[j][1] - want[k][1]) > 1e-9 for k in range(len(want)) if k != j)]
+        assert all(ids[j] == want[j][0] for j in clear[:-1])
+
+
+def test_toxicity_held_out(spark: SparkSession, sf: str, edge: str) -> None:
+    folder = sf.replace("sf0.001", "sf0.01")
+    got = {r.doc_id: r for r in rows(toxicity.op2_nearest_toxic(spark, folder))}
+    toxic = {r.doc_id: r.toxic for r in rows(spark.read.parquet(f"{folder}/labels.parquet"))}
+    for held in (False, True):
+        mine = [(got[d].predicted, t) for d, t in toxic.items() if got[d].held_out == held]
+        hit = sum(p and t for p, t in mine)
+        assert hit / sum(t for _, t in mine) > 0.6 and sum(p and not t for p, t in mine) <= 0.03 * len(mine)
+    out = rows(toxicity.op2_nearest_toxic(spark, edge))
+    assert len(out) == len(edge_rows()) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
+    same = {r.score for r in out if r.doc_id in (200, 201, 202)}
+    assert len(same) == 1
+
+
+# 3: chat
+
+
+def test_chat_round_trip(spark: SparkSession, edge: str) -> None:
+    turns = spark.read.parquet(f"{edge}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    read = chat.prefix_examples(turns).withColumn("turns", chat.read_turns(F.col("text")))
+    said: dict = collections.defaultdict(list)
+    for r in rows(turns):
+        said[r.conv_id].append((r.turn if r.turn is not None else -1, r.role or "", r.text or ""))
+    seen = collections.Counter()
+    for r in rows(read):
+        whole = [(role, text) for _, role, text in sorted(said[r.conv_id])]
+        mine = [(t.role, t.text) for t in r.turns]
+        assert mine == whole[: len(mine)]
+        loss = re.sub(r"(?s)\\(.)", r"\1", r.text[r.loss_start : r.loss_end])
+        assert loss == (mine[-1][1] if mine[-1][0] == "assistant" else "")
+        seen[r.conv_id] += mine[-1][0] == "assistant"
+    assert seen == {c: sum(role == "assistant" for _, role, _ in t) for c, t in said.items()}
+
+
+# 4: sharding
+
+
+def test_shards(spark: SparkSession, edge: str, sf: str, tables: Callable[..., str]) -> None:
+    hot = [(i, "same text over and over" if i % 3 == 0 else f"text {i} " * (1 + i % 9), "en", "s", 0) for i in range(4000)]
+    for folder in (edge, sf.replace("sf0.001", "sf0.01"), tables(hot)):
+        docs = rows(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
+        got = rows(sharding.op4_histogram_sort(spark, folder))
+        want = collections.Counter((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in docs)
+        assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+        slots, total = collections.defaultdict(list), collections.Counter()
+        for r in got:
+            slots[r.shard].append(r.slot)
+            total[r.shard] += r.size
+        assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(slots) <= set(range(40))
+        largest = max(r.size for r in got)
+        ideal = sum(r.size for r in got) / 40
+        assert all(abs(total[s] - ideal) <= largest + 0.01 * ideal for s in range(40))
+
+
+# 5: near copies
+
+
+def reference_fingerprint(text: str | None) -> int:
+    w = lowered(text)
+    shingles = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in h) > len(h))
+
+
+def group(nodes: list[int], close: Callable[[int, int], bool]) -> dict[int, int]:
+    parent = list(range(len(nodes)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(nodes)):
+        for j in range(i):
+            if close(nodes[i], nodes[j]):
+                a, b = sorted((top(i), top(j)))
+                parent[b] = a
+    return {i: top(i) for i in range(len(nodes))}
+
+
+def test_simhash_components(spark: SparkSession, edge: str, sf: str) -> None:
+    for folder in (edge, sf):
+        docs = rows(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
+        prints = [reference_fingerprint(r.text) for r in docs]
+        tops = group(prints, lambda a, b: (a ^ b).bit_count() <= 2)
+        least: dict[int, int] = {}
+        for i, r in enumerate(docs):
+            if r.doc_id is not None:
+                least[tops[i]] = min(least.get(tops[i], r.doc_id), r.doc_id)
+        want = collections.Counter((r.doc_id, f"{p:016x}", least.get(tops[i])) for i, (r, p) in enumerate(zip(docs, prints, strict=True)))
+        assert collections.Counter(map(tuple, rows(neardup.op5_bktree_neardup(spark, folder)))) == want
+
+
+def test_links_in_cut_shards(spark: SparkSession) -> None:
+    """Shards larger than a tree lose no link; one key holds everything."""
+    rng = random.Random(4)
+    values = [rng.getrandbits(64) for _ in range(12)]
+    near = sorted({v ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for v in values for _ in range(25)})
+    nodes = spark.createDataFrame([(i, bytearray(v.to_bytes(8, "big"))) for i, v in enumerate(near)], "node bigint, fp binary").repartition(3)
+    found = common.components(neardup.links(nodes, F.array(F.lit(1).cast("bigint")), 3, tree=20))
+    got = {r.node: r.root for r in rows(found)}
+    tops = group(near, lambda a, b: (a ^ b).bit_count() <= 3)
+    assert {i: got.get(i, i) for i in range(len(near))} == tops
+
+
+def test_components(spark: SparkSession) -> None:
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, i) for i in range(5001, 5200)] + [(7, 7)]
+    ids = sorted({x for e in edges for x in e})
+    parent = {i: i for i in ids}
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        parent[b] = a
+    got = {r.node: r.root for r in rows(common.components(spark.createDataFrame(edges, "a bigint, b bigint")))}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {i: top(i) for i in linked}
+    assert common.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+# 6: packing
+
+
+def test_packing(spark: SparkSession, edge: str, sf: str) -> None:
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    for folder in (edge, sf):
+        docs = rows(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
+        want = collections.Counter()
+        for r in docs:
+            ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 2]
+            first, at, k = len(ids) - 1024 * ((len(ids) - 1) // 1024), 0, 0
+            while at < len(ids):
+                n = first if not k else 1024
+                part = ids[at : at + n]
+                want[r.doc_id, k, at, n, zlib.crc32(struct.pack(f"<{n}I", *part))] += 1
+                at, k = at + n, k + 1
+        got = rows(packing.op6_histogram_best_fit(spark, folder))
+        assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+        seqs = collections.defaultdict(list)
+        for r in got:
+            seqs[r.sequence_id].append((r.offset, r.length))
+        for parts in seqs.values():
+            parts.sort()
+            assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 1024
+        assert len(seqs) <= -(-sum(r.length for r in got) // 1024) * 1.02 + 2
+
+
+def test_plan_is_best_fit_decreasing() -> None:
+    rng = random.Random(6)
+    for _ in range(60):
+        cap = rng.choice([10, 64, 100])
+        counts = {n: rng.randint(1, 30) for n in rng.sample(range(1, cap + 1), rng.randint(1, 8))}
+        rooms: list[int] = []
+        for n in sorted((n for n, c in counts.items() for _ in range(c)), reverse=True):
+            fit = min((r for r in rooms if r >= n), default=None)
+            rooms.append((cap if fit is None else fit) - n)
+            if fit is not None:
+                rooms.remove(fit)
+        segments, made = packing.plan(counts, cap)
+        assert made == len(rooms)
+        assert {n: sum(s[2] for s in segments if s[0] == n) for n in counts} == counts
+
+
+def test_encoder_equals_tokenizers() -> None:
+    from tokenizers import Tokenizer
+
+    tok, encode = Tokenizer.from_file(packing.tokenizer_path()), packing.encoder(packing.tokenizer_path())
+    texts = [f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}1" for c in range(0x260)]
+    rng = random.Random(8)
+    bits = ["a", "Ab", " ", "  ", "\n", "\t", "\x85", "\xa0", "\x1c", "é", "ß", "1", "'s", "'T", "--", "<|", "<|endoftext|>", "日本", "\U0001f600", " " * 2500]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    for t in texts:
+        assert encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+# 7: quality
+
+
+def reference_base(text: str | None) -> tuple:
+    w = words(text)
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    often = collections.Counter(windows)
+    covered = {i + k for i, x in enumerate(windows) if often[x] > 1 for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_base_rules(spark: SparkSession, edge: str, sf: str, tables: Callable[..., str]) -> None:
+    odd = tables([(1, "a b c a b c\n\na b c\n x \n x \n", "en", "s", 0), (2, "### | a\na\na", None, None, 0), (3, "p q " * 40, "en", "s", 0)])
+    for folder in (edge, sf, odd):
+        docs = rows(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
+        want = collections.Counter((r.doc_id, *(b := reference_base(r.text)), b[0] < 50 or 100 * b[4] > 50 * b[0]) for r in docs)
+        got = rows(quality.op7_robust_outliers(spark, folder))
+        assert collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == want
+        assert all(not r.kept for r in got if r.base_failed)
+
+
+def test_outliers_per_group(spark: SparkSession) -> None:
+    rng = np.random.default_rng(7)
+    cov = np.array([[1.0, 0.9], [0.9, 1.0]])
+    clean = rng.multivariate_normal([0, 0], cov, 900)
+    bad = rng.multivariate_normal([2, -2], cov * 0.05, 100)
+    other = rng.multivariate_normal([50, 50], cov, 400)
+    data = [("a", *map(float, x)) for x in np.vstack((clean, bad))] + [("b", *map(float, x)) for x in other]
+    table = common.written(spark.createDataFrame(data, "g string, s0 double, s1 double"), "v")
+    found = quality.robust_estimates(table, "g", ["s0", "s1"], (0.01, 0.01))
+    far = table.join(found, "g").withColumn("d", quality.distance(["s0", "s1"]) / F.col("scale"))
+    got = rows(far)
+    cut = quality.chi2_quantile(0.999, 2)
+    assert sum(r.d > cut for r in got if r.g == "a" and r.s0 - r.s1 > 3) >= 80
+    assert sum(r.d > cut for r in got if r.g == "a" and abs(r.s0 - r.s1) < 1.2) <= 5
+    assert sum(r.d > cut for r in got if r.g == "b") <= 8
+
+
+def test_quality_keeps_clean_documents(spark: SparkSession, sf: str) -> None:
+    folder = sf.replace("sf0.001", "sf0.01")
+    label = {r.doc_id: r.quality for r in rows(spark.read.parquet(f"{folder}/labels.parquet"))}
+    got = [r for r in rows(quality.op7_robust_outliers(spark, folder)) if r.doc_id in label and not r.base_failed]
+    assert all(r.kept for r in got if label[r.doc_id] == 1)
+    assert sum(not r.kept for r in got if label[r.doc_id] == 0) >= 0.9 * sum(label[r.doc_id] == 0 for r in got)
+
+
+# 8: personal data
+
+
+def reference_spans(t: str) -> list[tuple[int, int, int]]:
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        s = sum(x if i % 2 == 0 else 2 * x - 9 * (2 * x > 9) for i, x in enumerate(reversed(d)))
+        if 12 <= len(d) <= 19 and s % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return sorted(out)
+
+
+def told(spans: list[tuple[int, int, int]]) -> str:
+    return ",".join(f"{pii.KINDS[k]}:{a}:{e}" for a, k, e in spans)
+
+
+def test_base_spans_against_patterns() -> None:
+    rng = random.Random(3)
+    bits = ["a", "1", "23", ".", "@", "+", "-", " ", "(", ")", "b.c", "@x.y", "+1 ", "4111 1111 1111 1111", "255", "256", "é", "%", "٣"]
+    for _ in range(20000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 18)))
+        assert pii.base_spans(t) == reference_spans(t), t
+    assert pii.base_spans("1" * 300_000 + "a" * 300_000 + "." * 300_000) == []
+
+
+def test_personal_data(spark: SparkSession, edge: str, sf: str) -> None:
+    for folder in (edge, sf):
+        docs = rows(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
+        base = [reference_spans(r.text or "") for r in docs]
+        want = collections.Counter((r.doc_id, *(sum(s[1] == k for s in b) for k in range(4)), hashlib.sha256(told(b).encode()).hexdigest()) for r, b in zip(docs, base, strict=True))
+        got = rows(pii.op8_contextual_pii(spark, folder))
+        assert collections.Counter(tuple(r)[:6] for r in got) == want
+        spans = collections.Counter((r.doc_id, s) for r in got for s in r.spans.split(",") if s)
+        assert collections.Counter((r.doc_id, s) for r, b in zip(docs, base, strict=True) for s in told(b).split(",") if s) <= spans
+
+
+def test_contexts_find_unseen_identifiers(spark: SparkSession) -> None:
+    rng = random.Random(8)
+    texts = [f"{rng.choice('xyz')} please reach me at +1 555 01{i:02d} 99{i:02d} thanks" for i in range(20)]
+    texts += ["so please reach me at 555-0123-777x thanks", "order number 12345678 thanks", "please reach me at noon thanks"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    out = {r.doc_id: r for r in rows(pii.personal_data(df, ["doc_id", "text"]))}
+    new = {i: [r.text[s.start : s.stop] for s in r.spans if s not in r.base] for i, r in out.items()}
+    assert new[20] == ["555-0123-777x"] and not any(v for i, v in new.items() if i != 20)
+    assert [s.kind for s in out[20].spans] == [3]
+    hidden = pii.personal_data(df, ["doc_id", "text"]).select("doc_id", pii.masked("text", "spans").alias("m"))
+    shown = {r.doc_id: r.m for r in rows(hidden)}
+    assert shown[20] == "so please reach me at <phone> thanks" and shown[21] == texts[21]
+
+
+# 9: fingerprints
+
+
+def reference_weighted(text: str) -> int:
+    votes, total = [0] * 64, 0
+    for w in re.split(r"[\x20\x09-\x0d]+", text):
+        h = xxhash.xxh64_intdigest(w.encode(), 42)
+        total += len(w)
+        for i in range(64):
+            votes[i] += len(w) * (h >> i & 1)
+    return sum(1 << i for i in range(64) if 2 * votes[i] > total)
+
+
+def test_fingerprints(spark: SparkSession, edge: str, sf: str) -> None:
+    for folder in (edge, sf):
+        docs = [(r.doc_id, r.text or "") for r in rows(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))]
+        docs.sort(key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+        prints = [reference_weighted(t) for _, t in docs]
+        want = collections.Counter()
+        for i, (d, t) in enumerate(docs):
+            after = docs[(i + 1) % len(docs)][1]
+            half = len(t) // 2
+            edited = t[: len(t) - half] + after[:half]
+            e = reference_weighted(edited)
+            like = lambda a, b: 1 - (a ^ b).bit_count() / 64
+            near = sum((prints[i] ^ p).bit_count() <= 3 for p in prints) if d is not None and d % 100 == 0 else None
+            want[d, len(t), hashlib.sha256(edited.encode()).hexdigest(), f"{prints[i]:016x}", f"{e:016x}", like(prints[i], e), like(prints[i], prints[(i + 1) % len(docs)]), near] += 1
+        assert collections.Counter(map(tuple, rows(fingerprints.op9_simhash_fingerprints(spark, folder)))) == want
+
+
+def test_near_fingerprints_finds_all(spark: SparkSession) -> None:
+    rng = random.Random(9)
+    seeds = [rng.getrandbits(64) for _ in range(40)]
+    index = {s for v in seeds for s in (v, *(v ^ sum(1 << b for b in rng.sample(range(64), k)) for k in range(1, 7)))}
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    for radius in (1, 3, 5):
+        found = fingerprints.near_fingerprints(spark.createDataFrame([(signed(v),) for v in index], "fp bigint"), spark.createDataFrame([(signed(v),) for v in seeds], "query bigint"), radius)
+        assert {tuple(r) for r in rows(found)} == {(signed(a), signed(b)) for a in seeds for b in index if (a ^ b).bit_count() <= radius}
+
+
+def test_fingerprints_stay_native(spark: SparkSession, sf: str) -> None:
+    plan = fingerprints.op9_simhash_fingerprints(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+# 10: mixing
+
+
+def test_targets_and_copies(spark: SparkSession, edge: str, sf: str) -> None:
+    for folder in (edge, sf.replace("sf0.001", "sf0.01")):
+        docs = rows(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source"))
+        sizes = collections.Counter()
+        for r in docs:
+            sizes[r.source] += len(words(r.text))
+        weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+        target: dict = {}
+        free, left = set(sizes), sum(sizes.values())
+        while free:
+            share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+            over = [s for s in free if share[s] > 3 * sizes[s]]
+            if not over:
+                target |= share
+                break
+            for s in over:
+                target[s], left = 3 * sizes[s], left - 3 * sizes[s]
+                free.remove(s)
+        got = rows(mixing.mix_documents(spark.read.parquet(f"{folder}/documents.parquet")))
+        taken = collections.Counter()
+        largest = collections.Counter()
+        for r in got:
+            assert math.isclose(r.target, target[r.source], rel_tol=1e-9, abs_tol=1e-9) and r.source_size == sizes[r.source] and 0 <= r.copies <= 3
+            taken[r.source] += r.size * r.copies
+            largest[r.source] = max(largest[r.source], r.size)
+        assert len(got) == len(docs)
+        for s in sizes:
+            assert abs(taken[s] - target[s]) <= 3 * largest[s] + 0.05 * target[s]
+
+
+def test_ranks(spark: SparkSession) -> None:
+    df = spark.range(1000).select(F.col("id"), (F.col("id") % 3).alias("k"))
+    got = collections.defaultdict(list)
+    for r in rows(common.rank_within(df, ["k"], F.pmod(F.xxhash64("id"), F.lit(7)), [F.col("id")], "r")):
+        got[r.k].append(r.r)
+    assert all(sorted(v) == list(range(len(v))) for v in got.values()) and len(got) == 3
