@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -33,11 +34,18 @@ def test_tail_appends_partial_lines_and_rotation(spark: SparkSession, tmp_path:
 def test_heartbeats(spark: SparkSession, tmp_path: Path) -> None:
     source, out = tmp_path / "in", str(tmp_path / "out")
     spark.createDataFrame([("a", 5), ("a", 9), ("b", 7)], "agent_addr string, ts bigint").write.json(str(source))
-    stream = heartbeat_stream(spark.readStream.schema("agent_addr string, ts bigint").json(str(source)), ttl_seconds=86_400)
+    stream = heartbeat_stream(spark.readStream.schema("agent_addr string, ts bigint").json(str(source)), ttl_seconds=2)
     kept: list = []
-    query = stream.writeStream.outputMode("update").foreachBatch(lambda df, _: kept.extend(df.collect())).option("checkpointLocation", out).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert {(r.agent_addr, r.last_announce, r.active) for r in kept} == {("a", 9, True), ("b", 7, True)}
+    query = stream.writeStream.outputMode("update").foreachBatch(lambda df, _: kept.extend(df.collect())).option("checkpointLocation", out).trigger(processingTime="1 second").start()
+    try:
+        end = time.monotonic() + 90
+        while sum(not r.active for r in kept) < 2 and time.monotonic() < end:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    got = [(r.agent_addr, r.last_announce, r.active) for r in kept]
+    assert sorted(got) == [("a", 9, False), ("a", 9, True), ("b", 7, False), ("b", 7, True)]
+    assert all(got.index((a, t, True)) < got.index((a, t, False)) for a, t in (("a", 9), ("b", 7)))
 
 
 def test_sessions(spark: SparkSession) -> None:
