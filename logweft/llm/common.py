@@ -61,7 +61,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes Parquet into the shared folder and reads it back."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Deletes tables of written() once everything computed from them is itself written."""
+    for t in tables:
+        drop_scratch(t.sparkSession, t.scratch_path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +80,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+def held_out(doc_id: Column, mod: int) -> Column:
+    """Whether crc32 of the id's text leaves no remainder; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod == 0
+
+
 def nullable_key(c: Column) -> Column:
     """A string key without nulls that keeps code point order and puts null last."""
     return F.when(c.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), c.cast("string")))
@@ -108,9 +121,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = written(both.groupBy("hi").agg(F.least(F.min("lo"), F.col("hi")).alias("m")), "least")
         large = both.join(least, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         large = written(large.where("hi <> lo").distinct(), "large")
+        done_with(now, least)
         least = written(large.groupBy("hi").agg(F.min("lo").alias("m")), "least")
         small = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         now = written(small.union(least.select("hi", F.col("m").alias("lo"))).distinct(), "star")
+        done_with(large, least)
         row = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         if mark == row:
             break

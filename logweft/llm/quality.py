@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, nullable_key, written
+from .common import documents, done_with, nullable_key, written
 
 SYMBOLS = b"#*$%&|<>"
 LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
@@ -139,7 +139,8 @@ def robust_estimates(vectors: DataFrame, group: str, columns: list[str], floor:
         shifted = [F.col(c) - F.get("center", F.lit(i)) for i, c in enumerate(columns)]
         sums = [F.sum(shifted[i]).alias(f"a{i}") for i in range(d)] + [F.sum(shifted[i] * shifted[j]).alias(f"b{i}_{j}") for i in range(d) for j in range(i, d)]
         classes = here.groupBy(group, level).agg(F.count(F.lit(1)).alias("n"), F.first("center").alias("shift"), *sums)
-        now = written(classes.groupBy(group).applyInPandas(update, now.schema), "estimate")
+        old, now = now, written(classes.groupBy(group).applyInPandas(update, now.schema), "estimate")
+        done_with(old)
     return now
 
 

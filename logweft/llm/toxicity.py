@@ -27,18 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, held_out, written
 
 PREFIXES = (4, 5, 6, 7)
 
 
-def held_out(doc_id: Column, mod: int) -> Column:
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod == 0
-
-
 def beginnings(words: set[bytes]) -> dict[bytes, int]:
     """How many different longer words begin with each prefix; a blank marks it, which no word holds."""
     out: Counter = Counter()
