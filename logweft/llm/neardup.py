@@ -8,7 +8,9 @@ radius + 2 blocks of the fingerprint and each value of their bits, and two finge
 radius agree on two blocks at least, so no link is lost. In each shard a BK-tree is built whose
 children are keyed by their integer Hamming distance to the parent; a search follows only edges
 within the radius of the distance to the node. A shard of more than ``tree`` nodes is cut into trees
-of about that size at most, and its nodes are sent to each of them, so no tree grows with the data.
+of about that size at most, and its nodes are sent to each of them, so no tree grows with the data
+(the rows sent do, with the square of the trees a shard needs; each further block pair is a new key,
+so only unlike fingerprints that agree on half their bits could fill one).
 Each task emits a spanning forest of the links it finds in a shard, not all pairs; components() joins
 the forests.
 

@@ -151,12 +151,14 @@ def quality_verdicts(docs: DataFrame, columns: list[str], least: int = 100, cuto
     group = F.concat_ws("\x1f", nullable_key(F.col("lang")), nullable_key(F.col("source")))
     table = written(stats.withColumn("base_failed", failed).withColumn("__own", group), "statistics")
     sizes = table.where(~F.col("base_failed")).groupBy("__own").agg((F.count(F.lit(1)) >= least).alias("__large"))
+    sizes = written(sizes, "sizes")  # one row a group, of known size: joined without dealing documents by group
     s = [f"s{i}" for i in range(len(STATS))]
     placed = table.join(sizes, "__own", "left").withColumn("__group", F.when(F.col("__large"), F.col("__own")).otherwise(F.lit("*"))).drop("__own", "__large")
     judged = placed.where(~F.col("base_failed"))
     found = robust_estimates(judged, "__group", s, FLOOR)
     pool = judged.groupBy("__group").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least).select("__group")
-    out = placed.join(found.join(pool, "__group", "left_semi"), "__group", "left")
+    known = written(found.join(pool, "__group", "left_semi"), "known")
+    out = placed.join(known, "__group", "left")
     out = out.withColumn("distance", F.when(~F.col("base_failed"), distance(s) / F.greatest("scale", F.lit(1.0))))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).drop("__group", "center", "precision", "scale")
 
