@@ -7,15 +7,15 @@ Equal fingerprints are one node. Nodes meet in shards: by default one shard for
 radius + 2 blocks of the fingerprint and each value of their bits, and two fingerprints within the
 radius agree on two blocks at least, so no link is lost. In each shard a BK-tree is built whose
 children are keyed by their integer Hamming distance to the parent; a search follows only edges
-within the radius of the distance to the node. A shard of more than ``tree`` nodes is cut into trees
-of about that size at most, and its nodes are sent to each of them, so no tree grows with the data
-(the rows sent do, with the square of the trees a shard needs; each further block pair is a new key,
-so only unlike fingerprints that agree on half their bits could fill one).
+within the radius of the distance to the node. A shard of more than ``tree`` nodes is cut finer: by
+each of radius + 1 interleaved pieces of the fingerprint, of which two within the radius share one at
+least. Where a finer shard is still too large it is dealt over trees of about ``tree`` nodes, and its
+nodes are sent to each of them; so no tree grows with the data.
 Each task emits a spanning forest of the links it finds in a shard, not all pairs; components() joins
 the forests.
 
 For looser likeness (near_copies) fingerprints have 512 bits and shards are bands of min-hashes of
-the same shingles: blocks of a fingerprint say nothing at 80 differing bits.
+the same shingles, cut finer by each of the other bands: blocks of a fingerprint say nothing at 80 differing bits.
 
 Edges: a null text is empty, an empty text has fingerprint zero and is linked like any other; rows
 equal in id or text fall into one component; a null id is never a component's id unless its
@@ -159,12 +159,28 @@ def block_keys(bits: int, radius: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), x, y) for i, (x, y) in enumerate(combinations(block, 2))])
 
 
-def links(nodes: DataFrame, keys: Column, radius: int, tree: int = 2048) -> DataFrame:
-    """Edges (a, b) of ``nodes(node, fp, ..)`` that connect what is within the radius and shares a key."""
-    spread = nodes.select("node", "fp", F.explode(keys).alias("key"))
-    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    placed = spread.join(shared, "key").withColumn("trees", F.ceil(F.col("n") / tree).cast("int"))
-    placed = placed.withColumn("home", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
+def piece_keys(bits: int, radius: int) -> Column:
+    """Keys of radius + 1 pieces of ``fp``: piece i has the bits i, i + radius + 1, and so on."""
+    text = F.lpad(F.conv(F.hex("fp"), 16, 2), bits, "0")
+    n = radius + 1
+    take = lambda i: F.concat(*[F.substring(text, p + 1, 1) for p in range(i, bits, n)])
+    return F.array(*[F.xxhash64(F.lit(i), take(i)) for i in range(n)])
+
+
+def links(nodes: DataFrame, keys: Column, radius: int, finer: Column, tree: int = 2048) -> DataFrame:
+    """Edges (a, b) of ``nodes(node, fp, ..)`` that connect what is within the radius and shares a key.
+    ``finer``: keys, of which two nodes to be linked share one at least, that cut shards above ``tree``."""
+    spread = nodes.select("node", "fp", finer.alias("finer"), F.explode(keys).alias("key"))
+    shared = written(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    placed = spread.join(shared, "key")
+    large = shared.where(F.col("n") > tree)
+    once = placed.where(F.col("n") <= tree).select("key", "node", "fp", F.lit(1).alias("trees"))
+    if large.limit(1).count():
+        cut = spread.join(large, "key").select("node", "fp", "key", F.explode("finer").alias("f"))
+        cut = cut.where("f <> key").select("node", "fp", F.xxhash64("key", "f").alias("key"))
+        sizes = written(cut.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "finer")
+        once = once.union(cut.join(sizes, "key").select("key", "node", "fp", F.ceil(F.col("n") / tree).cast("int").alias("trees")))
+    placed = once.withColumn("home", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
     sent = placed.select("key", "node", "fp", "home", F.explode(F.sequence(F.lit(0), F.col("home"))).alias("tree"))
     sent = sent.select(F.xxhash64("key", "tree").alias("shard"), "node", "fp", (F.col("tree") == F.col("home")).alias("stored"))
 
@@ -188,10 +204,10 @@ def links(nodes: DataFrame, keys: Column, radius: int, tree: int = 2048) -> Data
     return sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(search, "a bigint, b bigint")
 
 
-def near_components(prints: DataFrame, keys: Column, radius: int) -> DataFrame:
+def near_components(prints: DataFrame, keys: Column, radius: int, finer: Column) -> DataFrame:
     """(doc_id, fp, component_id) of a written table ``prints(doc_id, fp, bands)``."""
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "nodes")
-    found = components(links(nodes.where("node is not null"), keys, radius))
+    found = components(links(nodes.where("node is not null"), keys, radius, finer))
     root = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.select("doc_id", "fp").join(root, "fp")
 
@@ -204,10 +220,10 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
     prints = written(fingerprints(docs, width, wide_fingerprint), "prints")
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = round(WIDE * p + 1.5 * (WIDE * p * (1 - p)) ** 0.5)
-    return near_components(prints, F.col("bands"), radius)
+    return near_components(prints, F.col("bands"), radius, F.col("bands"))
 
 
 def op5_bktree_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = written(fingerprints(documents(spark, sf_dir), 3, fingerprint64), "prints")
-    out = near_components(prints, block_keys(64, 2), 2)
+    out = near_components(prints, block_keys(64, 2), 2, piece_keys(64, 2))
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

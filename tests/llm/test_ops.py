@@ -273,10 +273,12 @@ def test_links_in_cut_shards(spark: SparkSession) -> None:
     values = [rng.getrandbits(64) for _ in range(12)]
     near = sorted({v ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for v in values for _ in range(25)})
     nodes = spark.createDataFrame([(i, bytearray(v.to_bytes(8, "big"))) for i, v in enumerate(near)], "node bigint, fp binary").repartition(3)
-    found = common.components(neardup.links(nodes, F.array(F.lit(1).cast("bigint")), 3, tree=20))
-    got = {r.node: r.root for r in rows(found)}
     tops = group(near, lambda a, b: (a ^ b).bit_count() <= 3)
-    assert {i: got.get(i, i) for i in range(len(near))} == tops
+    one = F.array(F.lit(1).cast("bigint"))
+    for finer in (neardup.piece_keys(64, 3), F.array(F.lit(2).cast("bigint"))):
+        found = common.components(neardup.links(nodes, one, 3, finer, tree=20))
+        got = {r.node: r.root for r in rows(found)}
+        assert {i: got.get(i, i) for i in range(len(near))} == tops
 
 
 def test_components(spark: SparkSession) -> None:
