@@ -160,10 +160,10 @@ def test_readers(spark: SparkSession, tmp_path: Path) -> None:
 
 def test_catalog_life(spark: SparkSession, tmp_path: Path) -> None:
     logs = tmp_path / "logs"
-    (logs / "xxl-job").mkdir(parents=True)
-    for name in ("a.log", "b.log", "c.txt", "xxl-job/d.log"):
+    (logs / "nightly").mkdir(parents=True)
+    for name in ("a.log", "b.log", "c.txt", "nightly/d.log"):
         (logs / name).write_text("x")
-    root = catalog.Root(str(logs), f"{logs}.*", r"^(?!.*\/xxl-job\/).*", r".*\.log$|.*\.gz$")
+    root = catalog.Root(str(logs), f"{logs}.*", r"^(?!.*\/nightly\/).*", r".*\.log$|.*\.gz$")
     scan = catalog.scan_roots(spark, [root])
     assert {r.name for r in scan.collect()} == {"a.log", "b.log"}
     store = catalog.scan_store(spark, root)
