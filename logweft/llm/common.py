@@ -104,7 +104,7 @@ def rank_within(df: DataFrame, keys: Sequence[str], salt: Column, order: Sequenc
     starts = starts.select(*cell, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
     starts = written(starts, "starts")  # else the join would deal the ranked rows anew, by the keys alone
     place = F.row_number().over(Window.partitionBy(*cell).orderBy(*order)) - F.lit(1)
-    ranked = salted.withColumn("__place", place).join(starts, cell)
+    ranked = salted.withColumn("__place", place).join(starts.hint("merge"), cell)
     return ranked.withColumn(out, F.col("__from") + F.col("__place")).drop("__salt", "__place", "__from")
 
 

@@ -58,7 +58,7 @@ def systematic_mix(docs: DataFrame, size: str, source: str, doc_id: str, seed: i
     plan = source_targets(totals, weights, most).select(F.col("source_key").alias("__key"), "source_size", "target", F.floor(rate * 2**FIXED_BITS).alias("__rate"), (start * 4).alias("__start"))
     before = Window.partitionBy("__key").orderBy(F.desc("__class")).rowsBetween(Window.unboundedPreceding, -1)
     first = per_class.select("__key", "__class", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
-    first = first.join(plan, "__key")
+    first = written(first.join(plan, "__key"), "plan")  # a row for each source and class: joined without moving texts
     ranked = rank_within(src, ["__key", "__class"], salt, [F.col(doc_id)], "__rank").join(first, ["__key", "__class"])
     at = (F.col("__first") + F.col("__rank")) * F.col("__rate") + F.col("__start")
     copies = F.shiftright(at + F.col("__rate"), FIXED_BITS) - F.shiftright(at, FIXED_BITS)
