@@ -6,7 +6,8 @@ label: over half of the texts with the term have it, and by a binomial tail boun
 finding is due to chance among all terms tested. The examples' unit vectors lie in an inverted index cut into blocks of
 examples; each term knows its largest weight in each block, so a query's sum of such maxima bounds
 every cosine in a block. Blocks are visited from the highest bound down until no bound reaches the
-k-th best cosine found: the k nearest are exact. Votes weigh with the cosine, and ``prior`` further
+k-th best cosine found: the k nearest are exact over the kept terms, not over all (README says what
+that leaves out, and how the cosine over all terms does). Votes weigh with the cosine, and ``prior`` further
 votes of the share of toxic examples without any kept term draw weak evidence down.
 
 At most about ``examples`` labelled rows are fitted (those whose id hashes lowest; the bound is the
