@@ -111,6 +111,17 @@ def test_lm_against_counts(spark: SparkSession, edge: str, sf: str) -> None:
             assert abs(g[5] - w[5]) <= 0.03 * g[1]  # codes are 0.04 apart
 
 
+def test_lm_stores_what_was_seen_once(spark: SparkSession, edge: str, sf: str) -> None:
+    for folder in (edge, sf):
+        docs = rows(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
+        train = [zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 10 != 0 for r in docs]
+        _, _, full, _ = reference_lm([r.text for r in docs], train, least=1)
+        want = sorted((-1 if r.doc_id is None else r.doc_id, len(words(r.text)) + 1, f) for r, f in zip(docs, full, strict=True))
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.score) for r in rows(lm.op1_elias_fano_lm(spark, folder)))
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert all(abs(g[2] - w[2]) <= 0.03 * g[1] for g, w in zip(got, want, strict=True))
+
+
 def test_lm_shards_do_not_change_scores(spark: SparkSession, sf: str) -> None:
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     texts = docs.select(F.col("text").cast("binary").alias("text"))
