@@ -55,6 +55,21 @@ def build_index_exact(stamped: DataFrame, interval: int = BUCKET_SECONDS, force_
     return stamped.select(*FILE, "pos", "time", "offset").groupBy(*FILE).applyInPandas(fold, "agent string, path string, seq int, timestamp bigint, offset bigint")
 
 
+def with_times(entries: DataFrame, stamped: DataFrame) -> DataFrame:
+    """Adds least and most, the least and greatest time of the lines from an entry to the next one: lines
+    may come late, so an entry's own timestamp bounds neither."""
+    marks = entries.select(*FILE, "offset", F.col("offset").alias("__at")).distinct()
+    before = Window.partitionBy(*FILE).orderBy("offset")
+    placed = stamped.join(marks, [*FILE, "offset"], "left").select(*FILE, "time", F.last("__at", ignorenulls=True).over(before).alias("offset"))
+    times = placed.groupBy(*FILE, "offset").agg(F.min("time").alias("least"), F.max("time").alias("most"))
+    return entries.join(times, [*FILE, "offset"], "left")
+
+
+def time_bounds(entries: DataFrame) -> DataFrame:
+    """(agent, path, start_time, end_time): a file's least and greatest time, from with_times() entries."""
+    return entries.groupBy(*FILE).agg(F.min("least").alias("start_time"), F.max("most").alias("end_time"))
+
+
 def with_sequence(entries: DataFrame) -> DataFrame:
     return entries.withColumn("seq", F.row_number().over(Window.partitionBy(*FILE).orderBy("offset", "timestamp")) - 1)
 

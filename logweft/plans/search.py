@@ -62,7 +62,8 @@ def matching_records(records: DataFrame, request: SearchRequest) -> DataFrame:
 
 
 class LogSearch:
-    """Federated search over lines of many agents; ``entries`` (a time index) only prunes files."""
+    """Federated search over lines of many agents; ``entries`` (a time index) only prunes files, by
+    the least and greatest time that timeindex.with_times() adds; without these it prunes nothing."""
 
     def __init__(self, lines: DataFrame, files: DataFrame | None = None, agents: DataFrame | None = None, entries: DataFrame | None = None) -> None:
         self.lines, self.files, self.agents, self.entries = lines, files, agents, entries
@@ -78,8 +79,8 @@ class LogSearch:
             lines = lines.where(F.col("path").isin(list(request.paths)))
         if self.agents is not None and now is not None:
             lines = lines.join(registry.active(self.agents, now).select(F.col("agent_id").alias("agent")), "agent", "left_semi")
-        if self.entries is not None:
-            kept = timeindex.overlapping_files(timeindex.file_bounds(self.entries), request.start_time, request.end_time)
+        if self.entries is not None and {"least", "most"} <= set(self.entries.columns):
+            kept = timeindex.overlapping_files(timeindex.time_bounds(self.entries), request.start_time, request.end_time)
             lines = lines.join(kept.select(*FILE), FILE, "left_semi")
         found = matching_records(assemble(lines), request)
         return limits.response_order(limits.group_by_file(found))

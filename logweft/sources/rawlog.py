@@ -7,8 +7,8 @@ Columns: agent, path, offset (bytes, of inflated text for gzip), time, line. A r
 range that its header line begins in; the task reads on past its range to the record's end, so ranges
 need no agreement and nothing is shuffled. Gzip files cannot be cut and are one range each. Comparisons
 of ``time`` and substring tests of ``line`` are pushed into the reader, which then skips records before
-Spark sees them; an index (option ``index``: a JSON-lines file of path, timestamp, offset) also skips
-the byte ranges that no record in the time range can lie in.
+Spark sees them; an index (option ``index``: a JSON-lines file of path, offset, and the least and most
+of timeindex.with_times()) also skips the byte ranges that no record in the time range can lie in.
 """
 
 from __future__ import annotations
@@ -118,30 +118,34 @@ class RawLogReader(DataSourceReader):
             if not taken:
                 yield f
 
-    def covered(self, path: str, entries: list[tuple[int, int]], size: int) -> tuple[int, int]:
-        """The byte range of ``path`` that can hold wanted times. The part before the first entry has no
-        times, and what follows the last entry can hold any later ones, so only whole segments between
-        entries are cut from either end."""
+    def covered(self, path: str, entries: list[tuple[int, int, int]], size: int) -> list[tuple[int, int]]:
+        """The byte ranges of ``path`` that can hold wanted times, from (offset, least, most) entries. The
+        part before the first entry has no times, and what follows the last entry can hold any (the file
+        may have grown), so only whole segments between entries are skipped."""
         low = self.wanted.low if self.wanted.low is not None else -(1 << 62)
         high = self.wanted.high if self.wanted.high is not None else 1 << 62
-        spans = [(a, b, s, e) for (a, s), (b, e) in zip(entries, [*entries[1:], (1 << 62, size)], strict=True)]
-        hit = [(s, e) for a, b, s, e in spans if a <= high and b >= low]
-        return (min(s for s, _ in hit), max(e for _, e in hit)) if hit else (0, 0)
+        out: list[tuple[int, int]] = []
+        for i, (start, least, most) in enumerate(entries, 1):
+            end = entries[i][0] if i < len(entries) else size
+            if i == len(entries) or least <= high and most >= low:
+                joins = out and out[-1][1] == start
+                out.append((out.pop()[0] if joins else start, end))
+        return out
 
     def partitions(self) -> list[Range]:
-        index: dict[str, list[tuple[int, int]]] = {}
+        index: dict[str, list[tuple[int, int, int]]] = {}
         if self.index:
             with open(self.index) as f:
                 for row in map(json.loads, f):
-                    index.setdefault(row["path"], []).append((row["timestamp"], row["offset"]))
+                    index.setdefault(row["path"], []).append((row["offset"], row.get("least", -(1 << 62)), row.get("most", 1 << 62)))
         out = []
         for path in expand(self.path):
             size = os.path.getsize(path)
             if path.lower().endswith(".gz"):
                 out.append(Range(path, 0, size, True))
                 continue
-            start, end = self.covered(path, sorted(index[path], key=lambda x: x[1]), size) if path in index else (0, size)
-            out += [Range(path, at, min(at + self.split, end)) for at in range(start, end, self.split)]
+            for start, end in self.covered(path, sorted(index[path]), size) if path in index else [(0, size)]:
+                out += [Range(path, at, min(at + self.split, end)) for at in range(start, end, self.split)]
         return out or [Range("", 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:

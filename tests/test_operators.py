@@ -67,6 +67,40 @@ def test_index_never_changes_answers(spark: SparkSession) -> None:
     assert plain == pruned and plain
 
 
+def test_index_keeps_late_lines(spark: SparkSession, tmp_path: Path) -> None:
+    rng = random.Random(16)
+    at = 1704067200
+    stamp = lambda t: time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime(at + t))
+    logs = {str(tmp_path / f"f{i}.log"): random_log(rng, 60, False) for i in range(10)}
+    logs[str(tmp_path / "late.log")] = [f"{stamp(t)} error {t}" for t in (1000, 3000, 1200, 9000, 9100)]
+    logs[str(tmp_path / "back.log")] = [f"{stamp(t)} error {t}" for t in (1000, 3000, 1200)]
+    for path, lines in logs.items():
+        Path(path).write_bytes("\n".join(lines).encode())
+    df = spark.createDataFrame(as_rows(logs), RAW)
+    stamped = timeindex.stamped_offsets(df)
+    spark.dataSource.register(RawLog)
+    for k, built in enumerate((timeindex.build_index(stamped), timeindex.build_index_exact(stamped, force_every=7))):
+        timed = timeindex.with_times(built, stamped)
+        for entries in (built, timed):
+            found = []
+            for e in (None, entries):
+                request = SearchRequest((("error", "simple"),), at + 2900, at + 3100)
+                found.append(sorted(map(tuple, LogSearch(df, entries=e).search(request).select("path", "start_time", "end_time", "n_lines").collect())))
+            assert found[0] == found[1] and any(r[0].endswith("back.log") for r in found[0])
+            index = tmp_path.parent / f"index{k}.jsonl"
+            index.write_text("\n".join(json.dumps(r.asDict()) for r in entries.collect()))
+            for low, high in ((1100, 1300), (2900, 3100), (0, 500)):
+                in_range = F.col("time").between(at + low, at + high)
+                source = spark.read.format("rawlog").load(str(tmp_path)).where(in_range)
+                pruned = spark.read.format("rawlog").option("index", str(index)).load(str(tmp_path)).where(in_range)
+                assert sorted(map(tuple, pruned.collect())) == sorted(map(tuple, source.collect()))
+    late = [(r.offset, r.least, r.most) for r in timed.where(F.col("path").endswith("late.log")).collect()]
+    reader = RawLog({"path": str(tmp_path)}).reader(None)
+    reader.wanted.low, reader.wanted.high = at + 1100, at + 1300
+    ranges = reader.covered("late.log", sorted(late), 200)
+    assert ranges[0][0] > 0 and len(ranges) == 2  # whole segments are still skipped
+
+
 def test_search_limits_and_bounds(spark: SparkSession) -> None:
     lines = [f"2024-01-01 00:00:0{i} hit" for i in range(6)]
     search = LogSearch(spark.createDataFrame(as_rows({"/x/a": lines, "/x/b": lines[:2], "/xy": lines[:1]}), RAW))
