@@ -15,7 +15,8 @@ Each task emits a spanning forest of the links it finds in a shard, not all pair
 the forests.
 
 For looser likeness (near_copies) fingerprints have 512 bits and shards are bands of min-hashes of
-the same shingles, cut finer by each of the other bands: blocks of a fingerprint say nothing at 80 differing bits.
+the same shingles: blocks of a fingerprint say nothing at 80 differing bits. Two near copies can share
+one band only, so nothing cuts a large band; it is dealt over trees at once.
 
 Edges: a null text is empty, an empty text has fingerprint zero and is linked like any other; rows
 equal in id or text fall into one component; a null id is never a component's id unless its
@@ -167,19 +168,21 @@ def piece_keys(bits: int, radius: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), take(i)) for i in range(n)])
 
 
-def links(nodes: DataFrame, keys: Column, radius: int, finer: Column, tree: int = 2048) -> DataFrame:
+def links(nodes: DataFrame, keys: Column, radius: int, finer: Column | None, tree: int = 2048) -> DataFrame:
     """Edges (a, b) of ``nodes(node, fp, ..)`` that connect what is within the radius and shares a key.
-    ``finer``: keys, of which two nodes to be linked share one at least, that cut shards above ``tree``."""
-    spread = nodes.select("node", "fp", finer.alias("finer"), F.explode(keys).alias("key"))
+    ``finer``: keys, of which two nodes to be linked share one at least, that cut shards above ``tree``;
+    None where there are no such keys."""
+    spread = nodes.select("node", "fp", *([] if finer is None else [finer.alias("finer")]), F.explode(keys).alias("key"))
     shared = written(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     placed = spread.join(shared, "key")
     large = shared.where(F.col("n") > tree)
-    once = placed.where(F.col("n") <= tree).select("key", "node", "fp", F.lit(1).alias("trees"))
-    if large.limit(1).count():
+    trees = F.ceil(F.col("n") / tree).cast("int").alias("trees")
+    once = (placed if finer is None else placed.where(F.col("n") <= tree)).select("key", "node", "fp", trees)
+    if finer is not None and large.limit(1).count():
         cut = spread.join(large, "key").select("node", "fp", "key", F.explode("finer").alias("f"))
         cut = cut.where("f <> key").select("node", "fp", F.xxhash64("key", "f").alias("key"))
         sizes = written(cut.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "finer")
-        once = once.union(cut.join(sizes, "key").select("key", "node", "fp", F.ceil(F.col("n") / tree).cast("int").alias("trees")))
+        once = once.union(cut.join(sizes, "key").select("key", "node", "fp", trees))
     placed = once.withColumn("home", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
     sent = placed.select("key", "node", "fp", "home", F.explode(F.sequence(F.lit(0), F.col("home"))).alias("tree"))
     sent = sent.select(F.xxhash64("key", "tree").alias("shard"), "node", "fp", (F.col("tree") == F.col("home")).alias("stored"))
@@ -204,7 +207,7 @@ def links(nodes: DataFrame, keys: Column, radius: int, finer: Column, tree: int
     return sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(search, "a bigint, b bigint")
 
 
-def near_components(prints: DataFrame, keys: Column, radius: int, finer: Column) -> DataFrame:
+def near_components(prints: DataFrame, keys: Column, radius: int, finer: Column | None) -> DataFrame:
     """(doc_id, fp, component_id) of a written table ``prints(doc_id, fp, bands)``."""
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "nodes")
     found = components(links(nodes.where("node is not null"), keys, radius, finer))
@@ -220,7 +223,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
     prints = written(fingerprints(docs, width, wide_fingerprint), "prints")
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = round(WIDE * p + 1.5 * (WIDE * p * (1 - p)) ** 0.5)
-    return near_components(prints, F.col("bands"), radius, F.col("bands"))
+    return near_components(prints, F.col("bands"), radius, None)
 
 
 def op5_bktree_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -292,6 +292,16 @@ def test_links_in_cut_shards(spark: SparkSession) -> None:
         assert {i: got.get(i, i) for i in range(len(near))} == tops
 
 
+def test_near_copies_in_a_hot_band(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Over 2048 fingerprints share a band, and near copies share no other."""
+    rng = random.Random(8)
+    values = [rng.getrandbits(512) for _ in range(1100)]
+    made = [(2 * i + j, bytearray((v ^ j).to_bytes(64, "big")), [7, 100 + 2 * i + j]) for i, v in enumerate(values) for j in (0, 1)]
+    prints = spark.createDataFrame(made, "doc_id bigint, fp binary, bands array<bigint>")
+    monkeypatch.setattr(neardup, "fingerprints", lambda docs, width, make: docs)
+    assert {r.doc_id: r.component_id for r in rows(neardup.near_copies(prints))} == {i: i // 2 * 2 for i in range(2200)}
+
+
 def test_components(spark: SparkSession) -> None:
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, i) for i in range(5001, 5200)] + [(7, 7)]
