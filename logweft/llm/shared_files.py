@@ -1,21 +1,25 @@
 """Array files in the shared folder, written by executors and memory-mapped by executors.
 
 A file is a JSON header line and arrays at 64-byte marks. On a local or mounted file system it is
-mapped where it lies; from another store (HDFS, object stores) each worker process fetches a file it
-needs once into its own temporary folder and maps that.
+mapped where it lies. From another store (HDFS, object stores) a file is fetched into a folder that all
+workers of a machine share, and mapped there; beyond ``LOCAL_BYTES`` the files that were fetched longest
+ago are unlinked, which leaves the maps that use them whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import tempfile
+from contextlib import suppress
 
 import numpy as np
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 
-_local: dict[str, str] = {}
+LOCAL_BYTES = 16 << 30
+LOCAL = os.path.join(tempfile.gettempdir(), f"logweft-maps-{os.getuid()}")
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -52,14 +56,29 @@ def save(path: str, arrays: dict[str, np.ndarray]) -> None:
     fs.move(part, where)
 
 
+def fetched(fs: pafs.FileSystem, where: str, path: str) -> str:
+    """A copy of the file in LOCAL, made whole under another name first; workers that ask at once both
+    copy, and either copy stays."""
+    os.makedirs(LOCAL, exist_ok=True)
+    local = os.path.join(LOCAL, hashlib.sha256(path.encode()).hexdigest())
+    if not os.path.exists(local):
+        part = f"{local}.{os.getpid()}.part"
+        pafs.copy_files(where, part, source_filesystem=fs, destination_filesystem=pafs.LocalFileSystem())
+        os.replace(part, local)
+        with suppress(FileNotFoundError):  # another worker is clearing up as well
+            held = sorted((e.stat().st_mtime, e.stat().st_size, e.path) for e in os.scandir(LOCAL) if not e.name.endswith(".part"))
+            spare = sum(size for _, size, _ in held) - LOCAL_BYTES
+            for _, size, old in held:
+                if spare > 0 and old != local:
+                    os.unlink(old)
+                    spare -= size
+    return local
+
+
 def load(path: str) -> dict[str, np.ndarray]:
     fs, where = store(path)
     if not isinstance(fs, pafs.LocalFileSystem):
-        if path not in _local:
-            handle, _local[path] = tempfile.mkstemp(suffix=".map")
-            os.close(handle)
-            pafs.copy_files(where, _local[path], source_filesystem=fs, destination_filesystem=pafs.LocalFileSystem())
-        where = _local[path]
+        where = fetched(fs, where, path)
     with open(where, "rb") as f:
         line = f.readline()
         size = f.seek(0, os.SEEK_END)

@@ -10,16 +10,19 @@ import re
 import struct
 import zlib
 from collections.abc import Callable
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import pytest
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweft.llm import chat, common, elias_fano, fingerprints, lm, mixing, neardup, packing, pii, quality, registry, sharding, toxicity
+from logweft.llm import chat, common, elias_fano, fingerprints, lm, mixing, neardup, packing, pii, quality, registry, sharding, shared_files, toxicity
+from logweft.llm import words as words_of
 
 from .conftest import edge_rows
 
@@ -62,7 +65,7 @@ def test_sql(spark: SparkSession, edge: str, sf: str, name: str) -> None:
 # 1: language model
 
 
-def reference_lm(texts: list[str | None], train: list[bool], least: int = 2, m2: float = 200.0, m3: float = 50.0) -> tuple:
+def reference_lm(texts: list[str | None], train: list[bool], least: int = 1, m2: float = 200.0, m3: float = 50.0) -> tuple:
     docs = [[*lowered(t), b"\n"] for t in texts]
     c1: collections.Counter = collections.Counter()
     c2: collections.Counter = collections.Counter()
@@ -111,17 +114,6 @@ def test_lm_against_counts(spark: SparkSession, edge: str, sf: str) -> None:
             assert abs(g[5] - w[5]) <= 0.03 * g[1]  # codes are 0.04 apart
 
 
-def test_lm_stores_what_was_seen_once(spark: SparkSession, edge: str, sf: str) -> None:
-    for folder in (edge, sf):
-        docs = rows(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
-        train = [zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 10 != 0 for r in docs]
-        _, _, full, _ = reference_lm([r.text for r in docs], train, least=1)
-        want = sorted((-1 if r.doc_id is None else r.doc_id, len(words(r.text)) + 1, f) for r, f in zip(docs, full, strict=True))
-        got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.score) for r in rows(lm.op1_elias_fano_lm(spark, folder)))
-        assert [g[:2] for g in got] == [w[:2] for w in want]
-        assert all(abs(g[2] - w[2]) <= 0.03 * g[1] for g, w in zip(got, want, strict=True))
-
-
 def test_lm_shards_do_not_change_scores(spark: SparkSession, sf: str) -> None:
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     texts = docs.select(F.col("text").cast("binary").alias("text"))
@@ -132,17 +124,39 @@ def test_lm_shards_do_not_change_scores(spark: SparkSession, sf: str) -> None:
     assert len(model.bounds) > 10 and scores[0] == scores[1]
 
 
-def test_lm_tokens() -> None:
+def test_word_hashes() -> None:
     rng = random.Random(1)
-    for block in (8, 64, 1 << 22):
-        texts = [None if rng.random() < 0.1 else " ".join(rng.choice(["aB", "ab", "\t", "\x0b", "é", "\x1c", "Zz" * rng.randint(1, 20), ""]) for _ in range(rng.randint(0, 12))).encode() for _ in range(200)]
+    known: dict[bytes, int] = {}
+    bits = ["aB", "ab", "\t", "\x0b", "é", "\x1c", "Zz" * 20, "q" * 100, "q" * 300, ""]
+    for block in (1, 3, 8, 64, 1 << 20):
+        texts = [None if rng.random() < 0.1 else " ".join(rng.choice(bits) for _ in range(rng.randint(0, 12))).encode() for _ in range(200)]
         whole = b"".join(t or b"" for t in texts)
         bounds = np.cumsum([0, *(len(t or b"") for t in texts)])
-        _, hashes = lm.word_hashes(np.frombuffer(whole, np.uint8), bounds, block)
+        _, hashes = words_of.word_hashes(np.frombuffer(whole, np.uint8), bounds, block)
         flat = [w for t in texts for w in (t or b"").lower().split()]
-        assert len(hashes) == len(flat) and len(set(zip(hashes.tolist(), flat, strict=True))) == len(set(flat)) == len(set(hashes.tolist()))
-        got, lengths = lm.tokens(pa.array([b"before", *texts], pa.binary()).slice(1))
+        assert len(hashes) == len(flat) and all(known.setdefault(w, h) == h for w, h in zip(flat, hashes.tolist(), strict=True))
+        got, lengths = words_of.tokens(pa.array([b"before", *texts], pa.binary()).slice(1))
         assert lengths.tolist() == [len((t or b"").split()) + 1 for t in texts] and len(got) == lengths.sum()
+    assert len(set(known.values())) == len(known)
+
+
+def test_word_hashes_have_no_structure() -> None:
+    """The Thue-Morse word and its complement collide for every polynomial hash modulo 2^64."""
+    bits = [i.bit_count() % 2 for i in range(1 << 12)]
+    pair = [bytes(97 + b for b in bits), bytes(98 - b for b in bits)]
+    assert len(set(words_of.text_words(pa.array(pair))[0].tolist())) == 2
+
+
+def test_fetched_files_are_shared_and_bounded(monkeypatch: pytest.MonkeyPatch, tmp_path: Path) -> None:
+    monkeypatch.setattr(shared_files, "LOCAL", str(tmp_path / "local"))
+    monkeypatch.setattr(shared_files, "LOCAL_BYTES", 3000)
+    monkeypatch.setattr(shared_files, "store", lambda path: (pafs.SubTreeFileSystem("/", pafs.LocalFileSystem()), path))
+    made = {str(tmp_path / f"f{i}"): np.arange(100) + i for i in range(8)}
+    for path, a in made.items():
+        shared_files.save(path, {"a": a})
+    maps = {path: shared_files.load(path)["a"] for path in made}
+    assert all((maps[p] == a).all() for p, a in made.items())
+    assert sum(f.stat().st_size for f in (tmp_path / "local").iterdir()) <= 3000
 
 
 def test_elias_fano() -> None:
