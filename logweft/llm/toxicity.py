@@ -1,29 +1,33 @@
 """Toxicity by the nearest labelled examples (operator 2).
 
-Texts are TF-IDF vectors over words, their first four to seven bytes, and such beginnings that two
-different words of the text share. Terms are kept where the labelled examples show that they mark the
-label: over half of the texts with the term have it, and by a binomial tail bound less than one such
-finding is due to chance among all terms tested. The examples' unit vectors lie in an inverted index cut into blocks of
-examples; each term knows its largest weight in each block, so a query's sum of such maxima bounds
-every cosine in a block. Blocks are visited from the highest bound down until no bound reaches the
-k-th best cosine found: the k nearest are exact over the kept terms, not over all (README says what
-that leaves out, and how the cosine over all terms does). Votes weigh with the cosine, and ``prior`` further
-votes of the share of toxic examples without any kept term draw weak evidence down.
-
-At most about ``examples`` labelled rows are fitted (those whose id hashes lowest; the bound is the
-parameter), so the index has a bounded size and is broadcast. Every document is scored, by its text
-alone; an example that is scored again meets itself.
-
-Edges: a null or empty text, or one without a kept term, has the score of such examples; a null id
-counts as the empty string for the hold-out; rows with a null label are no examples; a document
-labelled twice takes the larger label; repeated rows are scored alike; with no examples every score
-is 0; an empty table gives no rows.
+Texts are unit TF-IDF vectors over all their terms that any example has; terms are the runs of letters,
+digits and characters beyond ASCII, with A-Z lowered. A term's weight is (1 + ln count) * idf * mark: idf
+is ln((1 + examples) / (1 + examples with the term)), and mark, between 0 and 1, grows with the
+log-likelihood ratio of term and label among the examples. No term is left out, but one that both labels
+share alike counts little, else common words decide who is near.
+
+Examples of both labels lie in an inverted index cut into blocks of examples; each term knows its largest
+weight in each block, so a query's sum of such maxima bounds every cosine in a block. Blocks are visited
+from the highest bound down until no bound reaches the k-th best cosine found: the k nearest are exact.
+They vote with their cosines, and ``prior`` further votes have the share of toxic examples. The votes
+become a probability by a logistic curve, fitted to the examples' own votes, where none votes on itself.
+
+At most about ``examples`` labelled rows are fitted (those whose id hashes lowest), and of these no more
+than hold ``postings`` terms together (bounds are parameters), so the index has a bounded size. Its files
+lie in the shared folder and are memory-mapped. Every document is scored, by its text alone; an example
+that is scored again meets itself.
+
+Edges: a null or empty text, or one that shares no term with an example, has no neighbours and the score
+of votes at the share of toxic examples; a null id counts as the empty string for the hold-out; rows with
+a null label are no examples; a document labelled twice takes the larger label, and one that is there
+twice is two examples; repeated rows are scored alike; ties in cosine go to the lower example number;
+where all examples have one label every score is near it; with no examples every score is 0; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,182 +35,252 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, written
+from .common import documents, held_out, scratch, written
+from .shared_files import load, qualified, save
+from .words import IN_TERM, U64, grouped, text_words
 
-PREFIXES = (4, 5, 6, 7)
+MARK = 20.0  # the log-likelihood ratio at which a term counts half
 
 
-def beginnings(words: set[bytes]) -> dict[bytes, int]:
-    """How many different longer words begin with each prefix; a blank marks it, which no word holds."""
-    out: Counter = Counter()
-    for n in PREFIXES:
-        out.update([b" " + w[:n] for w in words if len(w) > n])
-    return out
+def spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from each first up to but not including its last, and the row that each is of."""
+    n = last - first
+    row = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(row)) + np.repeat(first - (np.cumsum(n) - n), n), row
 
 
-def terms_of(raw: bytes | None) -> set[bytes]:
-    words = set((raw or b"").lower().split())
-    found = beginnings(words)
-    return words | found.keys() | {b" " + t for t, n in found.items() if n > 1}
+def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, hash, count) of the distinct terms of an array of texts, in that order."""
+    hashes, n = text_words(texts, IN_TERM)
+    of = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((hashes, of))
+    of, hashes = of[order], hashes[order]
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(of) != 0) | (hashes[1:] != hashes[:-1])))) if len(of) else np.zeros(0, np.int64)
+    return of[first], hashes[first], np.diff(np.append(first, len(of)))
+
+
+def log_likelihood(n: np.ndarray, bad: np.ndarray, p: float) -> np.ndarray:
+    """How much better the texts with a term (n, of which bad) are told by their own share than by p."""
+    q = bad / n
+    part = lambda x, y: np.where(x > 0, x * np.log(np.where(x > 0, x, 1.0) / y), 0.0)
+    return n * (part(q, p) + part(1 - q, 1 - p))
+
+
+def term_weights(n: np.ndarray, bad: np.ndarray, examples: int, toxic: int) -> np.ndarray:
+    """idf * mark of terms that ``n`` examples have, ``bad`` of them toxic; with one label mark is 1."""
+    idf = np.log((1 + examples) / (1 + n))
+    if not 0 < toxic < examples:
+        return idf
+    g = log_likelihood(n, bad, toxic / examples)
+    return idf * (g + 0.5) / (g + MARK)
 
 
 class Index:
-    """A block-max inverted index of unit vectors."""
-
-    def __init__(self, idf: dict[bytes, float], vectors: list[dict[bytes, int]], labels: list[int], block: int = 64) -> None:
-        self.idf, self.block = idf, block
-        self.term = {t: i for i, t in enumerate(sorted(idf))}
-        self.stems = {t.lstrip(b" ") for t in idf if t.startswith(b" ")}
-        self.labels = np.array(labels, dtype=np.float64)
-        self.n = len(vectors)
-        blocks = -(-self.n // block)
-        posts: list[list[tuple[int, float]]] = [[] for _ in self.term]
-        for e, v in enumerate(vectors):
-            for t, w in self.unit(v):
-                posts[t].append((e, w))
-        self.ids = [np.array([e for e, _ in p], dtype=np.int64) for p in posts]
-        self.weights = [np.array([w for _, w in p]) for p in posts]
-        self.starts = [np.searchsorted(i, np.arange(blocks + 1) * block) for i in self.ids]
-        self.most = np.zeros((len(posts), blocks))
-        for t, (i, w) in enumerate(zip(self.ids, self.weights, strict=True)):
-            np.maximum.at(self.most[t], i // block, w)
-
-    def unit(self, counts: dict[bytes, int]) -> list[tuple[int, float]]:
-        raw = [(self.term[t], (1 + math.log(n)) * self.idf[t]) for t, n in sorted(counts.items())]
-        norm = math.sqrt(sum(w * w for _, w in raw))
-        return [(t, w / norm) for t, w in raw]
-
-    def counts(self, raw: bytes | None) -> dict[bytes, int]:
-        """Occurrences of the index's terms in a text; for shared beginnings, of different words."""
-        words = (raw or b"").lower().split()
-        some = set(words)
-        hits = some & self.idf.keys()
-        for n in PREFIXES:
-            near = {w[:n] for w in some if len(w) > n} & self.stems
-            if near:
-                hits |= {b" " + w for w in near}
-        if not hits:
-            return {}
-        tally = Counter(words)
-        out = {t: tally[t] for t in hits if t in tally}
-        found = beginnings({w for w in some if any(b" " + w[:n] in hits for n in PREFIXES)})
-        for t in hits & found.keys():
-            if t in self.idf:
-                out[t] = found[t]
-            if found[t] > 1 and b" " + t in self.idf:
-                out[b" " + t] = found[t]
-        return out
-
-    def nearest(self, counts: dict[bytes, int], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Example numbers and cosines of the k nearest with a positive cosine, best first, ties by number."""
-        query = self.unit(counts)
-        bound = sum(w * self.most[t] for t, w in query) + 1e-12
+    """A block-max inverted index of the examples' unit vectors."""
+
+    def __init__(self, arrays: dict[str, np.ndarray], block: int) -> None:
+        self.block = block
+        self.terms, self.weight, self.labels = arrays["terms"], arrays["weight"], arrays["labels"]
+        self.cells, self.cell_block, self.cell_max = arrays["cells"], arrays["cell_block"], arrays["cell_max"]
+        self.posts, self.example, self.value = arrays["posts"], arrays["example"], arrays["value"]
+        self.n_blocks = -(-len(self.labels) // block)
+
+    @staticmethod
+    def arrays(of: np.ndarray, hashes: np.ndarray, counts: np.ndarray, labels: np.ndarray, block: int) -> dict[str, np.ndarray]:
+        """The index's arrays from the examples' terms (as term_counts() gives them). Terms own cells, one
+        for each block that has the term, and cells own postings."""
+        terms, t = np.unique(hashes, return_inverse=True)
+        n = np.bincount(t, minlength=len(terms))
+        weight = term_weights(n, np.bincount(t, labels[of], len(terms)), len(labels), int(labels.sum()))
+        v = (1 + np.log(counts)) * weight[t]
+        norm = np.sqrt(np.bincount(of, v * v, len(labels)))
+        v = (v / np.maximum(norm, 1e-300)[of]).astype(np.float32)
+        order = np.lexsort((of, t))
+        t, of, v = t[order], of[order], v[order]
+        b = of // block
+        cell = np.flatnonzero(np.concatenate(([True], (np.diff(t) != 0) | (np.diff(b) != 0)))) if len(t) else np.zeros(0, np.int64)
+        most = np.maximum.reduceat(v, cell) if len(cell) else np.zeros(0, np.float32)
+        return {
+            "terms": terms.astype(U64), "weight": weight, "labels": labels.astype(np.int8),
+            "cells": np.searchsorted(t[cell], np.arange(len(terms) + 1)), "cell_block": b[cell].astype(np.int32), "cell_max": most,
+            "posts": np.append(cell, len(t)), "example": of.astype(np.int32), "value": v,
+        }
+
+    def queries(self, of: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(term numbers, weights) of each of n texts' unit vectors over the index's terms."""
+        at = np.minimum(np.searchsorted(self.terms, hashes), max(len(self.terms) - 1, 0))
+        known = self.terms[at] == hashes if len(self.terms) else np.zeros(len(hashes), bool)
+        of, at = of[known], at[known]
+        w = (1 + np.log(counts[known])) * self.weight[at]
+        w /= np.maximum(np.sqrt(np.bincount(of, w * w, n)), 1e-300)[of]
+        cuts = np.searchsorted(of, np.arange(n + 1))
+        for i, j in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            yield at[i:j], w[i:j]
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and cosines of the k nearest examples with a positive cosine, best first, without ``but``."""
+        cell, row = spans(self.cells[terms], self.cells[terms + 1])
+        block = self.cell_block[cell]
+        bound = np.bincount(block, weights[row] * self.cell_max[cell], self.n_blocks) * (1 + 1e-9)
+        left = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]
         ids, cos = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 1e-12 or len(cos) >= k and bound[b] < cos[k - 1]:
-                break
-            score = np.zeros(self.block)
-            for t, w in query:
-                i, j = self.starts[t][b], self.starts[t][b + 1]
-                if j > i:
-                    score[self.ids[t][i:j] - b * self.block] += w * self.weights[t][i:j]
+        step = 1 + k // self.block
+        while len(left):
+            if len(cos) == k:
+                left = left[: np.searchsorted(-bound[left], -cos[-1], side="right")]
+            now, left = left[:step], left[step:]
+            asked = np.zeros(self.n_blocks, bool)
+            asked[now] = True
+            mine = np.flatnonzero(asked[block])
+            post, of = spans(self.posts[cell[mine]], self.posts[cell[mine] + 1])
+            score = np.bincount(self.example[post], weights[row[mine[of]]] * self.value[post], len(self.labels))
             new = np.flatnonzero(score > 0)
-            ids, cos = np.concatenate([ids, new + b * self.block]), np.concatenate([cos, score[new]])
+            new = new[new != but]
+            ids, cos = np.concatenate((ids, new)), np.concatenate((cos, score[new]))
             best = np.lexsort((ids, -cos))[:k]
             ids, cos = ids[best], cos[best]
+            step *= 2
         return ids, cos
 
 
-def labelled(docs: DataFrame, labels: DataFrame, examples: int, mod: int = 5) -> DataFrame:
-    """(doc_id, toxic, text as bytes) of the examples to learn from, a written table."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), mod))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = min(1.0, examples / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    text = F.col("text").cast("binary").alias("text")
-    return written(docs.join(F.broadcast(known), "doc_id").select("doc_id", "toxic", text), "examples")  # about ``examples`` rows of 16 bytes
+def logit(p: np.ndarray) -> np.ndarray:
+    return np.log(p / (1 - p))
 
 
-def marking_terms(table: DataFrame, most: int) -> tuple[dict[bytes, int], int, int]:
-    """{term: documents} of the terms that mark the label, the number of examples, of toxic ones."""
-    n, toxic = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if not 0 < toxic < n:
-        return {}, n, toxic
+def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(a, b), b not negative, of the probability 1 / (1 + exp(-a - b x)) of y by Newton's steps, with
+    targets drawn in from 0 and 1 as if each label had been seen once more (Platt, 1999)."""
+    good, n = float(y.sum()), len(y)
+    target = np.where(y > 0, (good + 1) / (good + 2), 1 / (n - good + 2))
+    flat = float(logit(np.array(target.mean())))
+    theta = np.array([flat, 0.0])
+    rows = np.stack((np.ones(n), x))
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-theta @ rows))
+        step = np.linalg.solve((rows * (p * (1 - p))) @ rows.T + np.eye(2) * 1e-6, rows @ (target - p))
+        theta += np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(theta[0]), float(theta[1])) if theta[1] > 0 else (flat, 0.0)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every: Counter = Counter()
-        bad: Counter = Counter()
 
-        def flush() -> pa.RecordBatch:
-            keys = list(every)
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([every[k] for k in keys], pa.int64()), pa.array([bad[k] for k in keys], pa.int64())], names=["term", "n", "bad"])
-            every.clear()
-            bad.clear()
-            return out
+class Judge:
+    """The index in its file, the examples' ids, and the curve from votes to scores."""
 
+    def __init__(self, path: str, block: int, k: int, prior: float, share: float, curve: tuple[float, float] | None = None) -> None:
+        self.path, self.block, self.k, self.prior, self.share, self.curve = path, block, k, prior, share, curve
+        self.index: Index | None = None
+
+    def __reduce__(self) -> tuple:
+        return Judge, (self.path, self.block, self.k, self.prior, self.share, self.curve)
+
+    def open(self) -> Index:
+        if self.index is None:
+            arrays = load(self.path)
+            self.index, self.names = Index(arrays, self.block), arrays["names"]
+        return self.index
+
+    def votes(self, ids: np.ndarray, cos: np.ndarray) -> float:
+        """The log odds of the cosine-weighted votes."""
+        toxic = self.prior * self.share + cos[self.index.labels[ids] > 0].sum()
+        return float(logit(np.clip(toxic / (self.prior + cos.sum()), 1e-9, 1 - 1e-9)))
+
+    def score(self, votes: float) -> float:
+        a, b = self.curve
+        return 1 / (1 + math.exp(-a - b * votes))
+
+
+def example_terms(docs: DataFrame, labels: DataFrame, examples: int, postings: int, mod: int) -> DataFrame:
+    """(key, doc_id, toxic, hashes, counts, n) of the examples to learn from, a written table: hashes and
+    counts are the packed arrays of n terms."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), mod))
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    share = min(1.0, examples / max(1, known.count()))
+    key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    known = known.withColumn("key", key).where(F.col("key") < int(share * (1 << 30)))
+    found = docs.join(F.broadcast(known), "doc_id")  # about ``examples`` rows of 20 bytes
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in grouped(batches, "text", 400_000):
+            of, hashes, counts = term_counts(b.column("text"))
+            cuts = np.searchsorted(of, np.arange(len(b) + 1))
+            parts = list(zip(cuts, cuts[1:], strict=False))
+            packed = [pa.array([a[i:j].tobytes() for i, j in parts], pa.binary()) for a in (hashes, counts.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "doc_id", "toxic")), *packed, pa.array(np.diff(cuts), pa.int64())], names=["key", "doc_id", "toxic", "hashes", "counts", "n"])
+
+    found = found.select("key", F.col("doc_id").cast("bigint").alias("doc_id"), "toxic", F.col("text").cast("binary").alias("text"))
+    table = written(found.mapInArrow(pack, "key bigint, doc_id bigint, toxic int, hashes binary, counts binary, n bigint"), "examples")
+    sizes = sorted(map(tuple, table.select("key", "n").collect()))  # bounded by ``examples``
+    fit = int(np.searchsorted(np.cumsum([n for _, n in sizes]), postings, side="right"))
+    return table if fit == len(sizes) else table.where(F.col("key") < sizes[fit][0])
+
+
+def fit(docs: DataFrame, labels: DataFrame, k: int = 32, prior: float = 0.5, block: int = 64, examples: int = 20_000, postings: int = 6_000_000, mod: int = 5) -> Judge | None:
+    """The judge of ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``; None without examples."""
+    spark = docs.sparkSession
+    table = example_terms(docs, labels, examples, postings, mod)
+    rows = table.collect()  # bounded by ``examples`` and ``postings``
+    if not rows:
+        return None
+    own = [(np.frombuffer(r["hashes"], U64), np.frombuffer(r["counts"], np.int32)) for r in rows]
+    # examples that are alike lie in one block: by label, then by the hash that is least in a text
+    order = sorted(range(len(rows)), key=lambda i: (rows[i]["toxic"], own[i][0][0] if len(own[i][0]) else U64(0), rows[i]["doc_id"], rows[i]["hashes"], rows[i]["counts"]))
+    rows, own = [rows[i] for i in order], [own[i] for i in order]
+    of = np.repeat(np.arange(len(own)), [len(h) for h, _ in own])
+    labels_ = np.array([r["toxic"] for r in rows], np.int8)
+    arrays = Index.arrays(of, np.concatenate([h for h, _ in own]), np.concatenate([c for _, c in own]), labels_, block)
+    path = qualified(spark, scratch(spark, "toxic-index"))
+    save(path, arrays | {"names": np.array([r["doc_id"] for r in rows], np.int64)})
+    judge = Judge(path, block, k, prior, float(labels_.mean()))
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = judge.open()
         for b in batches:
-            for text, label in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                found = terms_of(text)
-                every.update(found)
-                if label:
-                    bad.update(found)
-                if len(every) > 400_000:
-                    yield flush()
-        yield flush()
-
-    totals = table.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(count, "term binary, n bigint, bad bigint")
-    totals = written(totals.groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where("n >= 3"), "terms")
-    tested, p = totals.count(), toxic / n
-    q = F.col("bad") / F.col("n")
-    bits = F.col("n") * (q * F.log(q / p) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(F.lit(0.0)))
-    kept = totals.where((q > p) & (q > 0.5)).withColumn("bits", bits).where(F.col("bits") > math.log(max(tested, 1)) + 1)
-    rows = kept.orderBy(F.desc("bits"), "term").limit(most).collect()  # ``most`` rows at most
-    return {bytes(r["term"]): r["n"] for r in rows}, n, toxic
-
-
-def fit(docs: DataFrame, labels: DataFrame, examples: int = 20_000, most: int = 5_000) -> tuple[Index, list[int], float]:
-    """The index, its examples' ids, and the share of toxic ones among examples without a kept term."""
-    table = labelled(docs, labels, examples)
-    df, n, _ = marking_terms(table, most)
-    idf = {t: 1 + math.log((1 + n) / (1 + d)) for t, d in df.items()}
-    probe = Index(idf, [], [])
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [sorted(probe.counts(t).items()) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([[t for t, _ in f] for f in found], pa.list_(pa.binary())), pa.array([[c for _, c in f] for f in found], pa.list_(pa.int64()))], names=["doc_id", "toxic", "terms", "counts"])
+            out = []
+            for i in b.column(0).to_numpy().tolist():
+                h, c = own_terms(index, i)
+                out.append(judge.votes(*index.nearest(h, c, judge.k, but=i)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["id", "votes"])
 
-    cast = table.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "text")
-    made = cast.mapInArrow(vectors, "doc_id bigint, toxic int, terms array<binary>, counts array<bigint>")
-    made = written(made, "vectors")
-    rows = sorted(made.where("size(terms) > 0").collect(), key=lambda r: r["doc_id"])  # bounded by ``examples``
-    none = made.where("size(terms) = 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    index = Index(idf, [dict(zip(map(bytes, r["terms"]), r["counts"], strict=True)) for r in rows], [r["toxic"] for r in rows])
-    return index, [r["doc_id"] for r in rows], float(none[1] / none[0]) if none[0] else 0.0
+    tasks = max(1, min(len(rows) // 200, 4 * spark.sparkContext.defaultParallelism))
+    found = spark.range(0, len(rows), 1, tasks).mapInArrow(vote, "id bigint, votes double").collect()
+    x = np.zeros(len(rows))
+    for r in found:
+        x[r["id"]] = r["votes"]
+    return Judge(path, block, k, prior, judge.share, platt(x, labels_))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, columns: list[str], k: int = 16, prior: float = 1.0, **fitting: int) -> DataFrame:
-    """``columns`` of the documents, score, and neighbours: the ids of the examples that voted, nearest first."""
-    index, names, base = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), **fitting)
-    shared = docs.sparkSession.sparkContext.broadcast((index, np.array(names, dtype=np.int64)))
+def own_terms(index: Index, example: int) -> tuple[np.ndarray, np.ndarray]:
+    """An example's own vector, read back from the index."""
+    if not hasattr(index, "rows"):
+        order = np.argsort(index.example, kind="stable")
+        term = np.searchsorted(index.posts[index.cells], np.arange(len(index.example)), side="right") - 1
+        index.rows = np.searchsorted(index.example[order], np.arange(len(index.labels) + 1)), term[order], index.value[order]
+    cuts, term, value = index.rows
+    return term[cuts[example] : cuts[example + 1]], value[cuts[example] : cuts[example + 1]].astype(np.float64)
+
+
+NEIGHBOUR = pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())])
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, columns: list[str], evidence: int = 5, **fitting: float) -> DataFrame:
+    """``columns`` of the documents, score, and neighbours: the ``evidence`` nearest of the examples that
+    voted, with their labels and cosines. ``columns`` must not hold these names."""
+    judge = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), **fitting)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, ids = shared.value
-        for b in batches:
-            scores, voters = [], []
-            for x in b.column("__text"):
-                counts = index.counts(x.as_py())
-                if not counts:
-                    scores.append(base)
-                    voters.append([])
-                    continue
-                near, cos = index.nearest(counts, k)
-                scores.append(float((prior * base + cos @ index.labels[near]) / (prior + cos.sum())))
-                voters.append(ids[near])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(scores, pa.float64()), pa.array(voters, pa.list_(pa.int64()))], names=[*columns, "score", "neighbours"])
+        for b in grouped(batches, "__text", 400_000):
+            scores, voters = [0.0] * len(b), [[] for _ in range(len(b))]
+            if judge is not None:
+                index = judge.open()
+                for i, (terms, weights) in enumerate(index.queries(*term_counts(b.column("__text")), len(b))):
+                    ids, cos = index.nearest(terms, weights, judge.k)
+                    scores[i] = judge.score(judge.votes(ids, cos))
+                    voters[i] = [{"doc_id": d, "toxic": t, "cosine": c} for d, t, c in zip(judge.names[ids[:evidence]].tolist(), index.labels[ids[:evidence]].tolist(), cos[:evidence].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(scores, pa.float64()), pa.array(voters, pa.list_(NEIGHBOUR))], names=[*columns, "score", "neighbours"])
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns]
-    return docs.select(*columns, F.col("text").cast("binary").alias("__text")).mapInArrow(run, ", ".join([*kinds, "score double, neighbours array<bigint>"]))
+    return docs.select(*columns, F.col("text").cast("binary").alias("__text")).mapInArrow(run, ", ".join([*kinds, "score double, neighbours array<struct<doc_id: bigint, toxic: int, cosine: double>>"]))
 
 
 def op2_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:

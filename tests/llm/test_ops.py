@@ -181,22 +181,100 @@ def test_elias_fano() -> None:
 # 2: toxicity
 
 
+def term_tally(text: str | None) -> collections.Counter:
+    return collections.Counter(re.findall(rb"[a-z0-9\x80-\xff]+", re.sub(b"[A-Z]", lambda m: m[0].lower(), (text or "").encode())))
+
+
+def reference_toxicity(docs: list, labels: list, k: int = 32, prior: float = 0.5) -> tuple[list[float], list[list]]:
+    """Scores and all voters (label, cosine) by comparing every text with every example."""
+    known: dict[int, int] = {}
+    for r in labels:
+        if r.doc_id is not None and r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            known[r.doc_id] = max(known.get(r.doc_id, 0), r.toxic)
+    examples = [(term_tally(r.text), known[r.doc_id]) for r in docs if r.doc_id in known]
+    n, toxic = len(examples), sum(y for _, y in examples)
+    weight = {}
+    for t in {t for e, _ in examples for t in e}:
+        have = [y for e, y in examples if t in e]
+        q, p = sum(have) / len(have), toxic / n
+        g = len(have) * sum(x * math.log(x / y) for x, y in ((q, p), (1 - q, 1 - p)) if x)
+        weight[t] = math.log((1 + n) / (1 + len(have))) * (g + 0.5) / (g + 20)
+
+    def unit(e: collections.Counter) -> dict[bytes, float]:
+        v = {t: (1 + math.log(c)) * weight[t] for t, c in e.items() if t in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items() if norm}
+
+    units = [unit(e) for e, _ in examples]
+
+    def near(q: dict[bytes, float], but: int = -1) -> list[tuple[float, int]]:
+        cos = [(sum(x * u.get(t, 0) for t, x in q.items()), examples[i][1]) for i, u in enumerate(units) if i != but]
+        return sorted((c for c in cos if c[0] > 0), reverse=True)[:k]
+
+    def votes(found: list[tuple[float, int]]) -> float:
+        share = (prior * toxic / n + sum(c for c, y in found if y)) / (prior + sum(c for c, _ in found))
+        return math.log(share / (1 - share))
+
+    a, b = toxicity.platt(np.array([votes(near(u, i)) for i, u in enumerate(units)]), np.array([y for _, y in examples]))
+    found = [near(unit(term_tally(r.text))) for r in docs]
+    return [1 / (1 + math.exp(-a - b * votes(f))) for f in found], found
+
+
+def test_toxicity_against_all_pairs(spark: SparkSession, edge: str, sf: str) -> None:
+    for folder in (edge, sf):
+        docs = rows(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
+        scores, found = reference_toxicity(docs, rows(spark.read.parquet(f"{folder}/labels.parquet")))
+        want = collections.defaultdict(list)
+        for r, s, f in zip(docs, scores, found, strict=True):
+            want[r.doc_id].append((s, [c for c, _ in f[:5]]))
+        got = collections.defaultdict(list)
+        for r in rows(toxicity.op2_nearest_toxic(spark, folder)):
+            got[r.doc_id].append((r.score, [x.cosine for x in r.neighbours]))
+            assert r.predicted == (r.score >= 0.5)
+        assert got.keys() == want.keys()
+        for d, mine in got.items():
+            for (s, c), (s2, c2) in zip(sorted(mine), sorted(want[d]), strict=True):
+                assert len(c) == len(c2) and np.allclose(c, c2, atol=1e-6) and abs(s - s2) < 0.02, d  # ties at the last place may vote otherwise
+
+
 def test_index_is_exact() -> None:
-    rng = random.Random(2)
-    idf = {f"t{i}".encode(): 1 + rng.random() * 3 for i in range(30)}
-    draw = lambda: {t: rng.randint(1, 4) for t in rng.sample(sorted(idf), rng.randint(1, 6))}
-    vectors = [draw() for _ in range(700)]
-    index = toxicity.Index(idf, vectors, [rng.randint(0, 1) for _ in vectors], block=16)
-    units = [dict(index.unit(v)) for v in vectors]
-    for _ in range(100):
-        q = draw()
-        mine = dict(index.unit(q))
-        all_ = sorted(((-sum(w * u.get(t, 0) for t, w in mine.items()), i) for i, u in enumerate(units)))[:9]
-        ids, cos = index.nearest(q, 9)
-        want = [(i, -c) for c, i in all_ if c < 0]
-        assert np.allclose(cos, [c for _, c in want]) and len(ids) == len(want)
-        clear = [j for j in range(len(want)) if all(abs(want[j][1] - want[k][1]) > 1e-9 for k in range(len(want)) if k != j)]
-        assert all(ids[j] == want[j][0] for j in clear[:-1])
+    rng = np.random.default_rng(2)
+    for block in (1, 16, 64):
+        tally = rng.poisson(0.25, (700, 40)) * rng.integers(1, 4, (700, 40))
+        labels = rng.integers(0, 2, 700)
+        of, term = np.nonzero(tally)
+        arrays = toxicity.Index.arrays(of, (term * 7 + 3).astype(np.uint64), tally[of, term], labels, block)
+        index = toxicity.Index(arrays, block)
+        weight = toxicity.term_weights((tally > 0).sum(0), tally[labels > 0].astype(bool).sum(0), 700, int(labels.sum()))
+        dense = np.where(tally > 0, 1 + np.log(np.maximum(tally, 1)), 0) * weight
+        dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-300)
+        for q, (t, w) in enumerate(index.queries(of, (term * 7 + 3).astype(np.uint64), tally[of, term], 700)):
+            ids, cos = index.nearest(t, w, 9, but=q)
+            want = dense @ dense[q]
+            want[q] = 0
+            assert np.allclose(cos, np.sort(want[want > 1e-12])[::-1][:9], atol=1e-6) and np.allclose(cos, want[ids], atol=1e-6)
+            assert np.allclose(toxicity.own_terms(index, q)[1], w, atol=1e-6)
+
+
+def test_curve_is_the_likeliest() -> None:
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(1 - 2 * x))).astype(int)
+    a, b = toxicity.platt(x, y)
+    assert abs(a + 1) < 0.2 and abs(b - 2) < 0.3
+    assert toxicity.platt(x, 1 - y)[1] == 0  # never falls with the votes
+    for y in (np.zeros(10), np.ones(10)):
+        a, b = toxicity.platt(np.zeros(10), y)
+        assert b == 0 and (a > 0) == bool(y[0])
+
+
+def test_bounds_of_the_examples(spark: SparkSession, sf: str) -> None:
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    whole = toxicity.example_terms(docs, labels, 10**6, 10**9, 5)
+    total = whole.agg(F.sum("n")).first()[0]
+    part = toxicity.example_terms(docs, labels, 10**6, total // 2, 5)
+    assert 0.2 * total < part.agg(F.sum("n")).first()[0] <= total // 2
+    assert 0 < toxicity.example_terms(docs, labels, 30, 10**9, 5).count() < whole.count()
 
 
 def test_toxicity_held_out(spark: SparkSession, sf: str, edge: str) -> None:
@@ -207,6 +285,8 @@ def test_toxicity_held_out(spark: SparkSession, sf: str, edge: str) -> None:
         mine = [(got[d].predicted, t) for d, t in toxic.items() if got[d].held_out == held]
         hit = sum(p and t for p, t in mine)
         assert hit / sum(t for _, t in mine) > 0.6 and sum(p and not t for p, t in mine) <= 0.03 * len(mine)
+        error = abs(sum(got[d].score - t for d, t in toxic.items() if got[d].held_out == held)) / len(mine)
+        assert error < 0.05  # scores are probabilities: their mean is the share of toxic rows
     out = rows(toxicity.op2_nearest_toxic(spark, edge))
     assert len(out) == len(edge_rows()) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
     same = {r.score for r in out if r.doc_id in (200, 201, 202)}
