@@ -42,11 +42,9 @@ from .words import IN_TERM, U64, grouped, text_words
 MARK = 20.0  # the log-likelihood ratio at which a term counts half
 
 
-def spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers from each first up to but not including its last, and the row that each is of."""
-    n = last - first
-    row = np.repeat(np.arange(len(n)), n)
-    return np.arange(len(row)) + np.repeat(first - (np.cumsum(n) - n), n), row
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``size`` numbers from each first on, one range after the other."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,71 +74,141 @@ def term_weights(n: np.ndarray, bad: np.ndarray, examples: int, toxic: int) -> n
 
 
 class Index:
-    """A block-max inverted index of the examples' unit vectors."""
+    """A block-max inverted index of the examples' unit vectors.
+
+    A term that more than one example in ``RARE`` has would have a cell nearly everywhere: its postings are
+    a dense row, and a batch of queries meets all such rows in one matrix product. Every other term has
+    a cell for each block that holds it, with its largest weight there, and cells have postings. The dense
+    part and the cells' maxima bound a block for a query; the blocks with the highest bounds are opened
+    first, and of the others those whose bound reaches the k-th best cosine found there. Cosines are in
+    single precision; SLACK is more than that loses."""
+
+    RARE = 16
+    SLACK = 2e-5
+    FEW = 8
 
     def __init__(self, arrays: dict[str, np.ndarray], block: int) -> None:
         self.block = block
-        self.terms, self.weight, self.labels = arrays["terms"], arrays["weight"], arrays["labels"]
+        arrays = {name: np.asarray(a) for name, a in arrays.items()}  # plain views of the maps
+        self.terms, self.weight, self.labels, self.names = arrays["terms"], arrays["weight"], arrays["labels"], arrays["names"]
+        self.n_blocks = -(-len(self.labels) // block)
+        self.dense_row = arrays["dense_row"]
+        self.dense = arrays["dense"].reshape(-1, self.n_blocks * block)
         self.cells, self.cell_block, self.cell_max = arrays["cells"], arrays["cell_block"], arrays["cell_max"]
         self.posts, self.example, self.value = arrays["posts"], arrays["example"], arrays["value"]
-        self.n_blocks = -(-len(self.labels) // block)
+        self.row_starts, self.row_terms, self.row_values = arrays["row_starts"], arrays["row_terms"], arrays["row_values"]
 
-    @staticmethod
-    def arrays(of: np.ndarray, hashes: np.ndarray, counts: np.ndarray, labels: np.ndarray, block: int) -> dict[str, np.ndarray]:
-        """The index's arrays from the examples' terms (as term_counts() gives them). Terms own cells, one
-        for each block that has the term, and cells own postings."""
+    @classmethod
+    def arrays(cls, of: np.ndarray, hashes: np.ndarray, counts: np.ndarray, labels: np.ndarray, names: np.ndarray, block: int) -> dict[str, np.ndarray]:
+        """The index's arrays from the examples' terms (as term_counts() gives them). Examples are put in
+        an order in which a block's are alike: by label and the signs of leading components."""
         terms, t = np.unique(hashes, return_inverse=True)
-        n = np.bincount(t, minlength=len(terms))
-        weight = term_weights(n, np.bincount(t, labels[of], len(terms)), len(labels), int(labels.sum()))
+        t = t.astype(np.int32)
+        n, examples = np.bincount(t, minlength=len(terms)), len(labels)
+        weight = term_weights(n, np.bincount(t, labels[of], len(terms)), examples, int(labels.sum()))
         v = (1 + np.log(counts)) * weight[t]
-        norm = np.sqrt(np.bincount(of, v * v, len(labels)))
-        v = (v / np.maximum(norm, 1e-300)[of]).astype(np.float32)
-        order = np.lexsort((of, t))
-        t, of, v = t[order], of[order], v[order]
+        norm = np.sqrt(np.bincount(of, v * v, examples))
+        v /= np.maximum(norm, 1e-300)[of]
+        often = n * cls.RARE > examples
+        dense_row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        wide = -(-examples // block) * block
+        dense = np.zeros((int(often.sum()), wide), np.float32)
+        mine = often[t]
+        dense[dense_row[t[mine]], of[mine]] = v[mine]
+        keys = [names, labels]
+        if len(dense):
+            parts = (np.linalg.eigh(dense @ dense.T)[1][:, ::-1][:, :6].T @ dense)[:, :examples]
+            keys = [names, *parts[-1:], *(parts[::-1] > np.median(parts[::-1], axis=1, keepdims=True)), labels]
+        order = np.lexsort(keys)
+        rank = np.empty(examples, np.int64)
+        rank[order] = np.arange(examples)
+        dense[:, :examples] = dense[:, :examples][:, order]
+        of = rank[of].astype(np.int32)
+        by_row = np.lexsort((t, of))
+        rows = {"row_starts": np.searchsorted(of[by_row], np.arange(examples + 1)), "row_terms": t[by_row], "row_values": v[by_row]}
+        t, of, v = t[~mine], of[~mine], v[~mine].astype(np.float32)
+        by_term = np.lexsort((of, t))
+        t, of, v = t[by_term], of[by_term], v[by_term]
         b = of // block
         cell = np.flatnonzero(np.concatenate(([True], (np.diff(t) != 0) | (np.diff(b) != 0)))) if len(t) else np.zeros(0, np.int64)
         most = np.maximum.reduceat(v, cell) if len(cell) else np.zeros(0, np.float32)
-        return {
-            "terms": terms.astype(U64), "weight": weight, "labels": labels.astype(np.int8),
-            "cells": np.searchsorted(t[cell], np.arange(len(terms) + 1)), "cell_block": b[cell].astype(np.int32), "cell_max": most,
+        return rows | {
+            "terms": terms.astype(U64), "weight": weight, "labels": labels[order].astype(np.int8), "names": names[order],
+            "dense_row": dense_row, "dense": dense.ravel(),
+            "cells": np.searchsorted(t[cell], np.arange(len(terms) + 1)), "cell_block": b[cell], "cell_max": most,
             "posts": np.append(cell, len(t)), "example": of.astype(np.int32), "value": v,
         }
 
-    def queries(self, of: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(term numbers, weights) of each of n texts' unit vectors over the index's terms."""
+    def vectors(self, of: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term number, weight) of n texts' unit vectors over the index's terms."""
         at = np.minimum(np.searchsorted(self.terms, hashes), max(len(self.terms) - 1, 0))
         known = self.terms[at] == hashes if len(self.terms) else np.zeros(len(hashes), bool)
         of, at = of[known], at[known]
         w = (1 + np.log(counts[known])) * self.weight[at]
-        w /= np.maximum(np.sqrt(np.bincount(of, w * w, n)), 1e-300)[of]
-        cuts = np.searchsorted(of, np.arange(n + 1))
-        for i, j in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
-            yield at[i:j], w[i:j]
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples with a positive cosine, best first, without ``but``."""
-        cell, row = spans(self.cells[terms], self.cells[terms + 1])
-        block = self.cell_block[cell]
-        bound = np.bincount(block, weights[row] * self.cell_max[cell], self.n_blocks) * (1 + 1e-9)
-        left = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]
-        ids, cos = np.zeros(0, np.int64), np.zeros(0)
-        step = 1 + k // self.block
-        while len(left):
-            if len(cos) == k:
-                left = left[: np.searchsorted(-bound[left], -cos[-1], side="right")]
-            now, left = left[:step], left[step:]
-            asked = np.zeros(self.n_blocks, bool)
-            asked[now] = True
-            mine = np.flatnonzero(asked[block])
-            post, of = spans(self.posts[cell[mine]], self.posts[cell[mine] + 1])
-            score = np.bincount(self.example[post], weights[row[mine[of]]] * self.value[post], len(self.labels))
-            new = np.flatnonzero(score > 0)
-            new = new[new != but]
-            ids, cos = np.concatenate((ids, new)), np.concatenate((cos, score[new]))
-            best = np.lexsort((ids, -cos))[:k]
-            ids, cos = ids[best], cos[best]
-            step *= 2
-        return ids, cos
+        return of, at, w / np.maximum(np.sqrt(np.bincount(of, w * w, n)), 1e-300)[of]
+
+    def own(self, examples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of examples' own vectors."""
+        size = self.row_starts[examples + 1] - self.row_starts[examples]
+        at = ranges(self.row_starts[examples], size)
+        return np.repeat(np.arange(len(examples)), size), self.row_terms[at], self.row_values[at]
+
+    def nearest(self, of: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int, but: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of n queries the numbers and cosines of the k nearest examples with a positive cosine,
+        best first, ties by number, without the example ``but`` names for it."""
+        row = self.dense_row[terms]
+        often = row >= 0
+        q = np.zeros((n, len(self.dense)), np.float32)
+        q[of[often], row[often]] = weights[often]
+        score = (q @ self.dense).reshape(n, self.n_blocks, self.block)
+        if but is not None:
+            score.reshape(n, -1)[np.arange(n), but] = -9.0
+        rare = np.flatnonzero(~often)
+        cuts = np.searchsorted(of[rare], np.arange(0, n + self.FEW, self.FEW))
+        for i in range(0, n, self.FEW):  # arrays of a few queries stay in the processor's cache
+            mine = rare[cuts[i // self.FEW] : cuts[i // self.FEW + 1]]
+            some = slice(i, min(n, i + self.FEW))
+            yield from self.best(score[some], of[mine] - i, terms[mine], weights[mine].astype(np.float32), k)
+
+    def best(self, score: np.ndarray, of: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The k nearest of queries with ``score`` (query, block, place) from the dense part and further terms."""
+        n, blocks, tops = len(score), self.n_blocks, score.max(2)
+        size = self.cells[terms + 1] - self.cells[terms]
+        cell = ranges(self.cells[terms], size)
+        query, weight = np.repeat(of, size), np.repeat(weights, size)
+        at = query * blocks + self.cell_block[cell]
+        bound = tops + np.bincount(at, weight * self.cell_max[cell], n * blocks).reshape(n, blocks)
+        # the blocks with the highest bounds first; then those whose bound reaches what was found there
+        few = min(blocks, 4 + k // self.block)
+        first = np.argpartition(bound, blocks - few, axis=1)[:, blocks - few :]
+        opened = np.zeros((n, blocks), bool)
+        np.put_along_axis(opened, first, True, axis=1)
+        self.open(score, opened, at, cell, query, weight)
+        least = kth(np.take_along_axis(score, first[:, :, None], axis=1).reshape(n, -1), k)
+        later = (bound >= least[:, None] - self.SLACK) & (bound > 0) & ~opened
+        self.open(score, later, at, cell, query, weight)
+        score[~(later | opened)] = -9.0
+        who, place = np.nonzero(score.reshape(n, -1) >= np.maximum(least - self.SLACK, 1e-6)[:, None])
+        cos = score.reshape(n, -1)[who, place].astype(np.float64)
+        order = np.lexsort((place, -cos, who))
+        cuts = np.searchsorted(who[order], np.arange(n + 1)).tolist()
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            yield place[order[i : min(j, i + k)]], cos[order[i : min(j, i + k)]]
+
+    def open(self, score: np.ndarray, blocks: np.ndarray, at: np.ndarray, cell: np.ndarray, query: np.ndarray, weight: np.ndarray) -> None:
+        """Adds the postings of the cells that lie in some (query, block) pairs to their scores."""
+        mine = np.flatnonzero(blocks.ravel()[at])
+        cell = cell[mine]
+        size = self.posts[cell + 1] - self.posts[cell]
+        post = ranges(self.posts[cell], size)
+        to = np.repeat(query[mine] * self.dense.shape[1], size) + self.example[post]
+        np.add.at(score.reshape(-1), to, np.repeat(weight[mine], size) * self.value[post])
+
+
+def kth(a: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row; 0 where there are fewer or it is lower."""
+    n = a.shape[1]
+    return np.maximum(np.partition(a, n - k, axis=1)[:, n - k], 0) if n >= k else np.zeros(len(a))
 
 
 def logit(p: np.ndarray) -> np.ndarray:
@@ -167,17 +235,31 @@ def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class Judge:
     """The index in its file, the examples' ids, and the curve from votes to scores."""
 
-    def __init__(self, path: str, block: int, k: int, prior: float, share: float, curve: tuple[float, float] | None = None) -> None:
+    BATCH = 128  # queries that are held against the index at once
+
+    def __init__(self, path: str, block: int, k: int, prior: float, share: float, curve: tuple[float, float] = (0.0, 1.0)) -> None:
         self.path, self.block, self.k, self.prior, self.share, self.curve = path, block, k, prior, share, curve
         self.index: Index | None = None
 
     def __reduce__(self) -> tuple:
         return Judge, (self.path, self.block, self.k, self.prior, self.share, self.curve)
 
+    def near(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Examples and cosines that vote on each of an array of texts."""
+        for at in range(0, len(texts), self.BATCH):
+            part = texts.slice(at, self.BATCH)
+            yield from self.open().nearest(*self.index.vectors(*term_counts(part), len(part)), len(part), self.k)
+
+    def own_votes(self, examples: np.ndarray) -> Iterator[float]:
+        """The examples' votes on examples, none on itself."""
+        for at in range(0, len(examples), self.BATCH):
+            part = examples[at : at + self.BATCH]
+            for ids, cos in self.open().nearest(*self.index.own(part), len(part), self.k, part):
+                yield self.votes(ids, cos)
+
     def open(self) -> Index:
         if self.index is None:
-            arrays = load(self.path)
-            self.index, self.names = Index(arrays, self.block), arrays["names"]
+            self.index = Index(load(self.path), self.block)
         return self.index
 
     def votes(self, ids: np.ndarray, cos: np.ndarray) -> float:
@@ -215,49 +297,36 @@ def example_terms(docs: DataFrame, labels: DataFrame, examples: int, postings: i
     return table if fit == len(sizes) else table.where(F.col("key") < sizes[fit][0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, k: int = 32, prior: float = 0.5, block: int = 64, examples: int = 20_000, postings: int = 6_000_000, mod: int = 5) -> Judge | None:
+def fit(docs: DataFrame, labels: DataFrame, k: int = 32, prior: float = 0.5, block: int = 256, examples: int = 20_000, postings: int = 6_000_000, mod: int = 5) -> Judge | None:
     """The judge of ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``; None without examples."""
     spark = docs.sparkSession
     table = example_terms(docs, labels, examples, postings, mod)
-    rows = table.collect()  # bounded by ``examples`` and ``postings``
-    if not rows:
+    n, toxic = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not n:
         return None
-    own = [(np.frombuffer(r["hashes"], U64), np.frombuffer(r["counts"], np.int32)) for r in rows]
-    # examples that are alike lie in one block: by label, then by the hash that is least in a text
-    order = sorted(range(len(rows)), key=lambda i: (rows[i]["toxic"], own[i][0][0] if len(own[i][0]) else U64(0), rows[i]["doc_id"], rows[i]["hashes"], rows[i]["counts"]))
-    rows, own = [rows[i] for i in order], [own[i] for i in order]
-    of = np.repeat(np.arange(len(own)), [len(h) for h, _ in own])
-    labels_ = np.array([r["toxic"] for r in rows], np.int8)
-    arrays = Index.arrays(of, np.concatenate([h for h, _ in own]), np.concatenate([c for _, c in own]), labels_, block)
     path = qualified(spark, scratch(spark, "toxic-index"))
-    save(path, arrays | {"names": np.array([r["doc_id"] for r in rows], np.int64)})
-    judge = Judge(path, block, k, prior, float(labels_.mean()))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(list(batches))  # bounded by ``examples`` and ``postings``
+        hashes, counts = (np.frombuffer(b"".join(whole.column(c).to_pylist()), kind) for c, kind in (("hashes", U64), ("counts", np.int32)))
+        names, labels = whole.column("doc_id").to_numpy(), whole.column("toxic").to_numpy().astype(np.int8)
+        of = np.repeat(np.arange(len(names), dtype=np.int32), whole.column("n").to_numpy())
+        del whole
+        save(path, Index.arrays(of, hashes, counts, labels, names, block))
+        yield pa.RecordBatch.from_arrays([pa.array([len(names)], pa.int64())], names=["n"])
+
+    table.repartition(1).sortWithinPartitions("doc_id", "toxic", "hashes", "counts").mapInArrow(build, "n bigint").collect()
+    judge = Judge(path, block, k, prior, toxic / n)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = judge.open()
         for b in batches:
-            out = []
-            for i in b.column(0).to_numpy().tolist():
-                h, c = own_terms(index, i)
-                out.append(judge.votes(*index.nearest(h, c, judge.k, but=i)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["id", "votes"])
-
-    tasks = max(1, min(len(rows) // 200, 4 * spark.sparkContext.defaultParallelism))
-    found = spark.range(0, len(rows), 1, tasks).mapInArrow(vote, "id bigint, votes double").collect()
-    x = np.zeros(len(rows))
-    for r in found:
-        x[r["id"]] = r["votes"]
-    return Judge(path, block, k, prior, judge.share, platt(x, labels_))
-
-
-def own_terms(index: Index, example: int) -> tuple[np.ndarray, np.ndarray]:
-    """An example's own vector, read back from the index."""
-    if not hasattr(index, "rows"):
-        order = np.argsort(index.example, kind="stable")
-        term = np.searchsorted(index.posts[index.cells], np.arange(len(index.example)), side="right") - 1
-        index.rows = np.searchsorted(index.example[order], np.arange(len(index.labels) + 1)), term[order], index.value[order]
-    cuts, term, value = index.rows
-    return term[cuts[example] : cuts[example + 1]], value[cuts[example] : cuts[example + 1]].astype(np.float64)
+            ids = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(judge.open().labels[ids]), pa.array(judge.own_votes(ids), pa.float64())], names=["toxic", "votes"])
+
+    tasks = max(1, min(n // 200, 4 * spark.sparkContext.defaultParallelism))
+    found = sorted(map(tuple, spark.range(0, n, 1, tasks).mapInArrow(vote, "toxic byte, votes double").collect()))
+    curve = platt(np.array([v for _, v in found]), np.array([y for y, _ in found]))
+    return Judge(path, block, k, prior, judge.share, curve)
 
 
 NEIGHBOUR = pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())])
@@ -272,11 +341,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, columns: list[str], evidence: i
         for b in grouped(batches, "__text", 400_000):
             scores, voters = [0.0] * len(b), [[] for _ in range(len(b))]
             if judge is not None:
-                index = judge.open()
-                for i, (terms, weights) in enumerate(index.queries(*term_counts(b.column("__text")), len(b))):
-                    ids, cos = index.nearest(terms, weights, judge.k)
+                for i, (ids, cos) in enumerate(judge.near(b.column("__text"))):
                     scores[i] = judge.score(judge.votes(ids, cos))
-                    voters[i] = [{"doc_id": d, "toxic": t, "cosine": c} for d, t, c in zip(judge.names[ids[:evidence]].tolist(), index.labels[ids[:evidence]].tolist(), cos[:evidence].tolist(), strict=True)]
+                    top = ids[:evidence]
+                    told = zip(judge.index.names[top].tolist(), judge.index.labels[top].tolist(), cos[:evidence].tolist(), strict=True)
+                    voters[i] = [{"doc_id": d, "toxic": t, "cosine": c} for d, t, c in told]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(scores, pa.float64()), pa.array(voters, pa.list_(NEIGHBOUR))], names=[*columns, "score", "neighbours"])
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns]

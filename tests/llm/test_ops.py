@@ -237,23 +237,28 @@ def test_toxicity_against_all_pairs(spark: SparkSession, edge: str, sf: str) ->
                 assert len(c) == len(c2) and np.allclose(c, c2, atol=1e-6) and abs(s - s2) < 0.02, d  # ties at the last place may vote otherwise
 
 
-def test_index_is_exact() -> None:
+def test_index_is_exact(monkeypatch: pytest.MonkeyPatch) -> None:
     rng = np.random.default_rng(2)
-    for block in (1, 16, 64):
-        tally = rng.poisson(0.25, (700, 40)) * rng.integers(1, 4, (700, 40))
+    for block, rare in ((1, 16), (16, 3), (64, 10), (64, 1), (256, 700)):
+        tally = rng.poisson(0.25 * rng.random(40), (700, 40)) * rng.integers(1, 4, (700, 40))
         labels = rng.integers(0, 2, 700)
         of, term = np.nonzero(tally)
-        arrays = toxicity.Index.arrays(of, (term * 7 + 3).astype(np.uint64), tally[of, term], labels, block)
-        index = toxicity.Index(arrays, block)
+        hashes = (term * 7 + 3).astype(np.uint64)
+        monkeypatch.setattr(toxicity.Index, "RARE", rare)
+        index = toxicity.Index(toxicity.Index.arrays(of, hashes, tally[of, term], labels, np.arange(700), block), block)
         weight = toxicity.term_weights((tally > 0).sum(0), tally[labels > 0].astype(bool).sum(0), 700, int(labels.sum()))
         dense = np.where(tally > 0, 1 + np.log(np.maximum(tally, 1)), 0) * weight
         dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-300)
-        for q, (t, w) in enumerate(index.queries(of, (term * 7 + 3).astype(np.uint64), tally[of, term], 700)):
-            ids, cos = index.nearest(t, w, 9, but=q)
+        place = np.argsort(index.names)  # the example's number in the index
+        found = index.nearest(*index.vectors(of, hashes, tally[of, term], 700), 700, 9, place)
+        for q, (ids, cos) in enumerate(found):
             want = dense @ dense[q]
             want[q] = 0
-            assert np.allclose(cos, np.sort(want[want > 1e-12])[::-1][:9], atol=1e-6) and np.allclose(cos, want[ids], atol=1e-6)
-            assert np.allclose(toxicity.own_terms(index, q)[1], w, atol=1e-6)
+            assert np.allclose(cos, np.sort(want[want > 1e-6])[::-1][:9], atol=1e-5) and np.allclose(cos, want[index.names[ids]], atol=1e-5)
+        o, t, v = index.own(np.arange(700))
+        back = np.zeros((700, len(index.terms)))
+        back[o, t] = v
+        assert np.allclose(back, dense[index.names][:, np.flatnonzero(tally.any(0))], atol=1e-5)
 
 
 def test_curve_is_the_likeliest() -> None:
