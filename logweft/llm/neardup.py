@@ -3,30 +3,34 @@
 A fingerprint bit is 1 where over half of the text's shingle hashes have it. Fingerprints at most
 ``radius`` bits apart are linked; a document's component is everything that links reach.
 
-Equal fingerprints are one node. Nodes meet in shards: by default one shard for each pair of the
-radius + 2 blocks of the fingerprint and each value of their bits, and two fingerprints within the
-radius agree on two blocks at least, so no link is lost. In each shard a BK-tree is built whose
-children are keyed by their integer Hamming distance to the parent; a search follows only edges
-within the radius of the distance to the node. A shard of more than ``tree`` nodes is cut finer: by
-each of radius + 1 interleaved pieces of the fingerprint, of which two within the radius share one at
-least. Where a finer shard is still too large it is dealt over trees of about ``tree`` nodes, and its
-nodes are sent to each of them; so no tree grows with the data.
-Each task emits a spanning forest of the links it finds in a shard, not all pairs; components() joins
-the forests.
-
-For looser likeness (near_copies) fingerprints have 512 bits and shards are bands of min-hashes of
-the same shingles: blocks of a fingerprint say nothing at 80 differing bits. Two near copies can share
-one band only, so nothing cuts a large band; it is dealt over trees at once.
-
-Edges: a null text is empty, an empty text has fingerprint zero and is linked like any other; rows
-equal in id or text fall into one component; a null id is never a component's id unless its
-fingerprint has no other; an empty table gives no rows.
+Equal fingerprints are one node, with a number of its own. Nodes meet in shards: by default one shard for
+each pair of the radius + 2 blocks of the fingerprint and each value of their bits, and two fingerprints
+within the radius agree on two blocks at least, so no link is lost. A shard of more than ``tree`` nodes is
+cut finer: by each of radius + 1 interleaved pieces of the fingerprint, of which two within the radius
+share one at least. Each shard has BK-trees of about ``tree`` nodes, whose children are keyed by their
+integer Hamming distance to the parent; a search follows only edges within the radius of the distance to
+the node. First the nodes of a tree are held against each other. Where a shard has several trees, a second
+turn sends its nodes to its other trees, but for those of the shard's largest component so far: these are
+connected already, and only what is outside has to find links to them or to its like. So a large group of
+near copies costs its size times the tree's, not its square, and no link between components is lost.
+Searches emit a spanning forest of what they find, not all pairs; components() joins the forests.
+
+near_copies is for looser likeness, by the shingle sets' Jaccard similarity. Texts with equal sets are one
+node, fingerprints have 512 bits, shards are bands of min-hashes, and every candidate that a search emits
+is compared exactly, shingle set with shingle set, before it links anything. At that radius the edges of a
+BK-tree prune little; what bounds the work is the shard.
+
+Edges: a null text is empty, an empty text has fingerprint zero and is linked like any other (near_copies:
+all texts without words are copies of each other and of nothing else); rows equal in id or text fall into
+one component; a null id links like any other, but is never a component's id unless the component has no
+other; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from heapq import nsmallest
 from itertools import combinations
 
 import numpy as np
@@ -35,9 +39,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, documents, written
+from .common import components, documents, done_with, written
+from .words import U64, grouped, mixed, text_words
 
 WIDE = 512
+NEAR, LATER = 4, 32
+#: What tells the places in a shingle, the lanes of a fingerprint and the min-hashes apart.
+ODD = mixed(np.arange(1, 129, dtype=U64)) | U64(1)
 
 
 def shingle_bytes(raw: bytes, width: int) -> list[bytes]:
@@ -62,35 +70,71 @@ def majority(hashes: np.ndarray, width: int) -> bytes:
     return np.packbits(2 * votes > n, bitorder="little").tobytes()[::-1]
 
 
-def fingerprint64(shingles: list[bytes]) -> tuple[bytes, list[int]]:
+def fingerprint64(shingles: list[bytes]) -> bytes:
     h = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles))
-    return majority(h.view(np.uint8).reshape(-1, 8), 64), []
-
-
-def wide_fingerprint(shingles: list[bytes], bands: int = 10) -> tuple[bytes, list[int]]:
-    """WIDE bits, and ``bands`` keys of two min-hashes each."""
-    n, seeds = len(shingles), range(42, 42 + WIDE // 128)
-    digests = b"".join([b"".join([xxhash.xxh3_128_digest(s, seed) for seed in seeds]) for s in shingles])
-    rows = np.frombuffer(digests, np.uint8).reshape(n, WIDE // 8)
-    fp = majority(rows, WIDE)
-    if not n:
-        return fp, []
-    base = np.unique(rows[:, :8].copy().view(np.uint64).ravel())
-    rng = np.random.default_rng(5)
-    mult = rng.integers(1, 1 << 63, 2 * bands, dtype=np.uint64) | np.uint64(1)
-    least = [int((base * m >> np.uint64(1)).min()) for m in mult]
-    return fp, [(i * 0x9E3779B97F4A7C15 + least[2 * i] * 31 + least[2 * i + 1]) % (1 << 63) for i in range(bands)]
-
-
-def fingerprints(docs: DataFrame, width: int, make: Callable[[list[bytes]], tuple[bytes, list[int]]]) -> DataFrame:
-    """(doc_id, fp, bands) of ``docs(doc_id, text)``."""
+    return majority(h.view(np.uint8).reshape(-1, 8), 64)
+
+
+def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, hash) of the distinct word shingles of an array of texts, in that order."""
+    words, n = text_words(texts)
+    many = np.where(n > width, n - width + 1, np.minimum(n, 1))
+    of = np.repeat(np.arange(len(n)), many)
+    start = np.cumsum(n) - n
+    at = np.arange(len(of)) + (start - (np.cumsum(many) - many))[of]
+    h = np.zeros(len(of), U64)
+    for j in range(width):
+        inside = j < n[of]  # a shorter text is one shingle
+        h[inside] += words[at[inside] + j] * ODD[j]
+    h = mixed(h)
+    order = np.lexsort((h, of))
+    of, h = of[order], h[order]
+    new = np.concatenate(([True], (np.diff(of) != 0) | (h[1:] != h[:-1]))) if len(of) else np.zeros(0, bool)
+    return of[new], h[new]
+
+
+def set_digests(of: np.ndarray, h: np.ndarray, n: int) -> list[bytes]:
+    """128 bits for each of n sets, by sums of two different mixtures of their elements."""
+    out = np.zeros((n, 2), U64)
+    first = np.flatnonzero(np.concatenate(([True], np.diff(of) != 0))) if len(of) else np.zeros(0, np.int64)
+    for i in range(2 * bool(len(first))):
+        out[of[first], i] = np.add.reduceat(mixed(h ^ ODD[32 + i]), first)
+    return [d.tobytes() for d in out]
+
+
+def wide_fingerprints(texts: pa.Array, width: int, bands: int = 10, chunk: int = 16384) -> list[tuple[bytes, bytes, list[int], int]]:
+    """For each text a digest of its shingle set, WIDE bits that the set votes on, ``bands`` keys of two
+    min-hashes each, and the size of the set."""
+    of, h = shingle_sets(texts, width)
+    n = np.bincount(of, minlength=len(texts))
+    votes = np.zeros((len(texts), WIDE), np.int32)
+    for at in range(0, len(h), chunk):
+        part, mine = h[at : at + chunk], of[at : at + chunk]
+        lanes = np.stack([mixed(part ^ ODD[16 + i]) for i in range(WIDE // 64)], axis=1)
+        bits = np.unpackbits(lanes.view(np.uint8), axis=1)
+        cuts = np.flatnonzero(np.concatenate(([True], np.diff(mine) != 0)))
+        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(mine)], strict=True):
+            votes[mine[i]] += bits[i:j].sum(axis=0, dtype=np.int32)
+    fps = np.packbits(2 * votes > n[:, None], axis=1)
+    has = np.flatnonzero(n)
+    first = (np.cumsum(n) - n)[has]
+    over = lambda f, x: f.reduceat(x, first) if len(first) else np.zeros(0, U64)
+    least = np.zeros((len(texts), 2 * bands), U64)
+    for i in range(2 * bands):
+        least[has, i] = over(np.minimum, h * ODD[64 + i])
+    keys = (mixed(least[:, ::2] * ODD[48] + least[:, 1::2] * ODD[49] + ODD[100 : 100 + bands]) >> U64(1)).astype(np.int64)
+    return [(d, f.tobytes(), k.tolist() if m else [], m) for d, f, k, m in zip(set_digests(of, h, len(texts)), fps, keys, n.tolist(), strict=True)]
+
+
+def fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, fp) of ``docs(doc_id, text)``, 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [make(shingle_bytes(x.as_py() or b"", width)) for x in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["doc_id", "fp", "bands"])
+            made = [fingerprint64(shingle_bytes(x.as_py() or b"", width)) for x in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(made, pa.binary())], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, fp binary, bands array<bigint>")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, fp binary")
 
 
 class BKTree:
@@ -115,14 +159,14 @@ class BKTree:
                 return
             at = below
 
-    def within(self, value: int, radius: int) -> Iterator[int]:
-        """Names within the radius: only edges from d - radius to d + radius can lead there."""
+    def within(self, value: int, radius: int) -> Iterator[tuple[int, int]]:
+        """(distance, name) within the radius: only edges from d - radius to d + radius can lead there."""
         stack = [self.root] if self.root is not None else []
         while stack:
             at = stack.pop()
             d = (at[0] ^ value).bit_count()
             if d <= radius:
-                yield at[1]
+                yield d, at[1]
             below = at[2]
             if len(below) > 2 * radius + 1:
                 stack.extend(below[k] for k in range(d - radius, d + radius + 1) if k in below)
@@ -130,25 +174,39 @@ class BKTree:
                 stack.extend(n for k, n in below.items() if -radius <= k - d <= radius)
 
 
-def forest(values: list[int], names: list[int], stored: list[bool], radius: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links between a tree's nodes (stored) and all that were sent to it."""
-    parent: dict[int, int] = {}
+class Searcher:
+    """The searches of a task, shard by shard: rows of a shard come together, those to be stored first.
 
-    def top(x: int) -> int:
+    A row that is compared is linked to its ``near`` nearest neighbours of other components (``root``), and
+    to the nearest in each component that no link of this shard has joined to its own yet."""
+
+    def __init__(self, radius: int, near: int, alike: float) -> None:
+        self.radius, self.near, self.alike = radius, near, alike
+        self.shard: int | None = None
+
+    def top(self, x: int) -> int:
+        parent = self.parent
         while (p := parent.get(x, x)) != x:
             parent[x] = x = parent.get(p, p)
         return x
 
-    tree = BKTree()
-    for inside in (True, False):
-        for v, n in ((v, n) for v, n, s in zip(values, names, stored, strict=True) if s is inside):
-            for other in tree.within(v, radius):
-                a, b = top(n), top(other)
-                if a != b:
-                    parent[a] = b
-                    yield n, other
-            if inside:
-                tree.add(v, n)
+    def links(self, shard: int, node: int, value: int, size: int, root: int, stored: bool, compared: bool) -> Iterator[tuple[int, int]]:
+        if shard != self.shard:
+            self.shard, self.tree, self.known, self.parent = shard, BKTree(), {}, {}
+        if compared:
+            known, alike = self.known, self.alike
+            found = [(d, other) for d, other in self.tree.within(value, self.radius) if known[other][1] != root]
+            if alike:  # sets whose sizes differ by more cannot be alike enough
+                found = [(d, o) for d, o in found if min(size, known[o][0]) >= alike * max(size, known[o][0])]
+            close = set(nsmallest(self.near, found))
+            for d, other in sorted(found):
+                a, b = self.top(root), self.top(known[other][1])
+                if a != b or (d, other) in close:
+                    self.parent[a] = b
+                    yield node, other
+        if stored:
+            self.known[node] = size, root
+            self.tree.add(value, node)
 
 
 def block_keys(bits: int, radius: int) -> Column:
@@ -168,65 +226,146 @@ def piece_keys(bits: int, radius: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), take(i)) for i in range(n)])
 
 
-def links(nodes: DataFrame, keys: Column, radius: int, finer: Column | None, tree: int = 2048) -> DataFrame:
-    """Edges (a, b) of ``nodes(node, fp, ..)`` that connect what is within the radius and shares a key.
-    ``finer``: keys, of which two nodes to be linked share one at least, that cut shards above ``tree``;
-    None where there are no such keys."""
-    spread = nodes.select("node", "fp", *([] if finer is None else [finer.alias("finer")]), F.explode(keys).alias("key"))
+def placed(nodes: DataFrame, keys: Column, finer: Column | None, tree: int) -> DataFrame:
+    """(key, node, fp, size, trees, home) of nodes that share a shard: a written table. ``home`` is the
+    node's own tree of the shard's ``trees``. ``finer``: keys, of which two nodes to be linked share one at
+    least, that cut shards above ``tree``; None where there are no such keys."""
+    spread = nodes.select("node", "fp", "size", *([] if finer is None else [finer.alias("finer")]), F.explode(keys).alias("key"))
     shared = written(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    placed = spread.join(shared, "key")
+    at = ["key", "node", "fp", "size", "n", F.ceil(F.col("n") / tree).cast("int").alias("trees")]
+    once = spread.join(shared if finer is None else shared.where(F.col("n") <= tree), "key").select(*at)
     large = shared.where(F.col("n") > tree)
-    trees = F.ceil(F.col("n") / tree).cast("int").alias("trees")
-    once = (placed if finer is None else placed.where(F.col("n") <= tree)).select("key", "node", "fp", trees)
     if finer is not None and large.limit(1).count():
-        cut = spread.join(large, "key").select("node", "fp", "key", F.explode("finer").alias("f"))
-        cut = cut.where("f <> key").select("node", "fp", F.xxhash64("key", "f").alias("key"))
+        cut = spread.join(large, "key").select("node", "fp", "size", "key", F.explode("finer").alias("f"))
+        cut = cut.where("f <> key").select("node", "fp", "size", F.xxhash64("key", "f").alias("key"))
         sizes = written(cut.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "finer")
-        once = once.union(cut.join(sizes, "key").select("key", "node", "fp", trees))
-    placed = once.withColumn("home", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
-    sent = placed.select("key", "node", "fp", "home", F.explode(F.sequence(F.lit(0), F.col("home"))).alias("tree"))
-    sent = sent.select(F.xxhash64("key", "tree").alias("shard"), "node", "fp", (F.col("tree") == F.col("home")).alias("stored"))
+        once = once.union(cut.join(sizes, "key").select(*at))
+    return written(once.withColumn("home", F.pmod(F.xxhash64("key", "node"), F.col("trees")).cast("int")), "placed")
+
+
+def searched(stored: DataFrame, asked: DataFrame | None, radius: int, near: int, alike: float) -> DataFrame:
+    """Distinct links (a, b), a above b, of rows (key, tree, node, fp, size, root): those ``asked`` are held
+    against those stored in their tree, or without them each stored row against the others."""
+    sent = stored.withColumn("stored", F.lit(True)).withColumn("compared", F.lit(asked is None))
+    if asked is not None:
+        sent = sent.unionByName(asked.withColumn("stored", F.lit(False)).withColumn("compared", F.lit(True)))
+    sent = sent.select(F.xxhash64("key", "tree").alias("shard"), "node", "fp", "size", "root", "stored", "compared")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+        at = Searcher(radius, near, alike)
+        for b in batches:
+            found = [x for s, n, f, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in at.links(s, n, int.from_bytes(f), *rest)]
+            yield pa.RecordBatch.from_arrays([pa.array([max(x) for x in found], pa.int64()), pa.array([min(x) for x in found], pa.int64())], names=["a", "b"])
+
+    dealt = sent.repartition("shard").sortWithinPartitions("shard", F.desc("stored"))
+    return dealt.mapInArrow(search, "a bigint, b bigint").distinct()
+
+
+def linked(nodes: DataFrame, keys: Column, radius: int, finer: Column | None, tree: int = 2048, alike: float = 0.0, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, root) of ``nodes(node, fp, size, ..)`` with a link, root the least node reachable. Links join
+    what shares a key and is within the radius.
+
+    With ``check``, which maps candidates to those that are links, a node's nearest candidate may fail where
+    a farther one would not: NEAR candidates of each node are checked, and in the second turn, which then
+    takes all shards that hold more, LATER of each node outside its shard's largest component."""
+    table = placed(nodes, keys, finer, tree)
+    row = ["key", "node", "fp", "size", "root"]
+    own = table.withColumn("root", F.col("node")).select(*row, F.col("home").alias("tree"))
+    near, later = (NEAR, LATER) if check else (0, 0)
+    tried = written(searched(own, None, radius, near, alike), "candidates")
+    edges = written(check(tried), "links") if check else tried
+    found = components(edges)
+    several = table.where((F.col("trees") > 1) | (F.col("n") > near + 1) if check else F.col("trees") > 1)
+    if several.limit(1).count():
+        rooted = written(several.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+        major = written(parts.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("major")), "major")
+        outside = rooted.join(major, "key").where("root <> major")
+        asked = outside.select(*row, "home", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"))
+        asked = (asked if check else asked.where("tree <> home")).drop("home")
+        more = searched(rooted.select(*row, F.col("home").alias("tree")), asked, radius, later, alike)
+        more = more.join(tried, ["a", "b"], "left_anti")
+        found = components(edges.union(written(check(more) if check else more, "more")))
+    done_with(table)
+    return found
+
 
-        rest: tuple[list, ...] = ([], [], [], [])
+def near_components(prints: DataFrame, keys: Column, radius: int, finer: Column | None) -> DataFrame:
+    """(doc_id, fp, component_id) of a written table ``prints(doc_id, fp)``."""
+    numbered = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = written(numbered.withColumns({"node": F.monotonically_increasing_id(), "size": F.lit(1)}), "nodes")
+    found = written(linked(nodes, keys, radius, finer), "roots")
+    rooted = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("root"), "least")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.select("doc_id", "fp").join(written(rooted.join(ids, "root").select("fp", "component_id"), "components"), "fp")
+
+
+def alike_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the Jaccard similarity, compared by 32 bits of each hash;
+    ``nodes(node, digest, row)`` names a document of ``docs(row, text)`` for each node."""
+    pairs = written(pairs, "candidates")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    asked = written(nodes.join(ends, "node", "left_semi").select("node", "digest", "row"), "asked")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in grouped(batches, "text", 200_000):
+            of, h = shingle_sets(b.column("text"), width)
+            cuts = np.searchsorted(of, np.arange(len(b) + 1))
+            sets = [np.unique(h[i:j].astype(np.uint32)).tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("digest"), pa.array(set_digests(of, h, len(b)), pa.binary()), pa.array(sets, pa.binary())], names=["node", "digest", "own", "shingles"])
+
+    texts = docs.select("row", F.col("text").cast("binary").alias("text")).join(asked, "row").select("node", "digest", "text")
+    sets = texts.mapInArrow(make, "node bigint, digest binary, own binary, shingles binary").where("digest = own")
+    sets = written(sets.groupBy("node").agg(F.max("shingles").alias("shingles")), "sets")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shard = rest[0] + b.column(0).to_pylist()
-            node, fp, stored = (r + b.column(i).to_pylist() for i, r in ((1, rest[1]), (2, rest[2]), (3, rest[3])))
-            cuts = [0, *(np.flatnonzero(np.diff(np.array(shard, np.int64))) + 1).tolist()] if shard else [0]
-            found: list[tuple[int, int]] = []
-            for x, y in zip(cuts, cuts[1:], strict=False):
-                if y - x > 1:
-                    found += forest([int.from_bytes(f) for f in fp[x:y]], node[x:y], stored[x:y], radius)
-            rest = tuple(v[cuts[-1] :] for v in (shard, node, fp, stored))
-            yield out(found)
-        yield out(list(forest([int.from_bytes(f) for f in rest[2]], rest[1], rest[3], radius)))
+            good = []
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                both = np.concatenate((np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)))
+                whole = len(np.unique(both))
+                good.append(len(both) - whole >= similarity * whole)
+            yield b.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    return sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(search, "a bigint, b bigint")
+    named = lambda n, c: sets.select(F.col("node").alias(n), F.col("shingles").alias(c))
+    return pairs.join(named("a", "x"), "a").join(named("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
-def near_components(prints: DataFrame, keys: Column, radius: int, finer: Column | None) -> DataFrame:
-    """(doc_id, fp, component_id) of a written table ``prints(doc_id, fp, bands)``."""
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "nodes")
-    found = components(links(nodes.where("node is not null"), keys, radius, finer))
-    root = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return prints.select("doc_id", "fp").join(root, "fp")
-
-
-def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """(doc_id, fp, component_id) where documents of about ``similarity`` (Jaccard, on word shingles) or
-    more are linked: equal-size sets with similarity s have cosine 2s / (1 + s), and a bit differs with
-    probability angle / pi. The radius is 1.5 standard deviations beyond that, so a pair just at
-    ``similarity`` is found 14 times in 15. Ten bands of two min-hashes meet with 0.99996 at 0.8."""
-    prints = written(fingerprints(docs, width, wide_fingerprint), "prints")
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, tree: int = 2048) -> DataFrame:
+    """(doc_id, text_hash, component_id, kept) for each row of ``docs(doc_id, text)``: documents whose sets of
+    word shingles have a Jaccard similarity of ``similarity`` or more are linked; kept is the row with the
+    least id of its component, ids before null, ties by hash of text.
+
+    Equal-size sets with similarity s have cosine 2s / (1 + s), and a bit differs with probability angle / pi.
+    The radius is four standard deviations beyond that, so a pair just at ``similarity`` is a candidate all
+    but 3 times in 100,000; ten bands of two min-hashes meet with 0.99996 at 0.8. Every candidate that
+    linked() checks is compared exactly."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.xxhash64("doc_id", "text").alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in grouped(batches, "text", 200_000):
+            made = wide_fingerprints(b.column("text"), width)
+            columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), b.column("row"), *columns], names=["doc_id", "text_hash", "row", "digest", "fp", "bands", "size"])
+
+    told = keyed.select("doc_id", "text_hash", "row", F.col("text").cast("binary").alias("text"))
+    prints = written(told.mapInArrow(run, "doc_id bigint, text_hash bigint, row bigint, digest binary, fp binary, bands array<bigint>, size int"), "prints")
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = round(WIDE * p + 1.5 * (WIDE * p * (1 - p)) ** 0.5)
-    return near_components(prints, F.col("bands"), radius, None)
+    radius = round(WIDE * p + 4 * (WIDE * p * (1 - p)) ** 0.5)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    nodes = prints.groupBy("digest").agg(F.min("row").alias("row"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"), F.any_value("size").alias("size"), first)
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    found = linked(nodes, F.col("bands"), radius, None, tree, similarity, lambda pairs: alike_pairs(pairs, nodes, keyed, width, similarity))
+    rooted = nodes.join(written(found, "roots"), "node", "left").select("digest", F.coalesce("root", "node").alias("root"), "first")
+    rooted = written(rooted, "rooted")
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    chosen = written(rooted.select("digest", "root").join(chosen, "root").select("digest", "first"), "chosen")
+    out = prints.select("doc_id", "text_hash", "digest").join(chosen, "digest")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    return out.select("doc_id", "text_hash", F.col("first.doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def op5_bktree_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = written(fingerprints(documents(spark, sf_dir), 3, fingerprint64), "prints")
+    prints = written(fingerprints(documents(spark, sf_dir), 3), "prints")
     out = near_components(prints, block_keys(64, 2), 2, piece_keys(64, 2))
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

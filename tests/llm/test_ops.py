@@ -348,7 +348,7 @@ def reference_fingerprint(text: str | None) -> int:
     return sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in h) > len(h))
 
 
-def group(nodes: list[int], close: Callable[[int, int], bool]) -> dict[int, int]:
+def group(nodes: list, close: Callable) -> dict[int, int]:
     parent = list(range(len(nodes)))
 
     def top(x: int) -> int:
@@ -377,28 +377,83 @@ def test_simhash_components(spark: SparkSession, edge: str, sf: str) -> None:
         assert collections.Counter(map(tuple, rows(neardup.op5_bktree_neardup(spark, folder)))) == want
 
 
+def test_null_ids_link(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """A row without an id joins what it is near to, and joins others to each other."""
+    made = [(5, 0b0), (None, 0b11), (9, 0b1111), (None, 1 << 40), (None, 1 << 40 | 1), (7, 0xFFFF0000FFFF0000)]
+    prints = spark.createDataFrame([(i, bytearray(v.to_bytes(8, "big"))) for i, v in made], "doc_id bigint, fp binary")
+    monkeypatch.setattr(neardup, "fingerprints", lambda docs, width: docs)
+    monkeypatch.setattr(neardup, "documents", lambda spark, folder: prints)
+    got = collections.Counter((r.doc_id, r.component_id) for r in rows(neardup.op5_bktree_neardup(spark, "")))
+    assert got == {(5, 5): 1, (None, 5): 3, (9, 5): 1, (7, 7): 1}
+
+
 def test_links_in_cut_shards(spark: SparkSession) -> None:
     """Shards larger than a tree lose no link; one key holds everything."""
     rng = random.Random(4)
     values = [rng.getrandbits(64) for _ in range(12)]
     near = sorted({v ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for v in values for _ in range(25)})
-    nodes = spark.createDataFrame([(i, bytearray(v.to_bytes(8, "big"))) for i, v in enumerate(near)], "node bigint, fp binary").repartition(3)
+    nodes = spark.createDataFrame([(i, bytearray(v.to_bytes(8, "big")), 1) for i, v in enumerate(near)], "node bigint, fp binary, size int").repartition(3)
     tops = group(near, lambda a, b: (a ^ b).bit_count() <= 3)
     one = F.array(F.lit(1).cast("bigint"))
-    for finer in (neardup.piece_keys(64, 3), F.array(F.lit(2).cast("bigint"))):
-        found = common.components(neardup.links(nodes, one, 3, finer, tree=20))
-        got = {r.node: r.root for r in rows(found)}
+    for finer in (neardup.piece_keys(64, 3), F.array(F.lit(2).cast("bigint")), None):
+        got = {r.node: r.root for r in rows(neardup.linked(nodes, one, 3, finer, tree=20))}
         assert {i: got.get(i, i) for i in range(len(near))} == tops
 
 
-def test_near_copies_in_a_hot_band(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+def reference_copies(texts: list[str | None], similarity: float = 0.8) -> dict[int, int]:
+    sets = []
+    for t in texts:
+        w = lowered(t)
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return group(sets, lambda a, b: a == b or len(a & b) >= similarity * len(a | b) > 0)
+
+
+def near_groups(spark: SparkSession, texts: list[str | None], **options: float) -> dict[int, int]:
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    return {r.doc_id: r.component_id for r in rows(neardup.near_copies(df, **options))}
+
+
+def test_near_copies_against_all_pairs(spark: SparkSession, edge: str, sf: str) -> None:
+    for folder in (edge, sf):
+        texts = [r.text for r in rows(spark.read.parquet(f"{folder}/documents.parquet").select("text"))]
+        assert near_groups(spark, texts) == reference_copies(texts)
+
+
+def test_a_large_group_of_near_copies(spark: SparkSession) -> None:
+    """A group much larger than a tree, some of whose members reach it through one other only, beside
+    pairs below the threshold that must stay apart."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+
+    def edited(words: list[str], at: list[int]) -> list[str]:
+        return [f"e{rng.randrange(10**6)}" if i in at else w for i, w in enumerate(words)]
+
+    members = [edited(base, rng.sample(range(120), rng.choice((0, 1, 2)))) for _ in range(400)]
+    chain = [edited(m, [10, 60]) for m in members[:30]]
+    apart = [edited(base, list(range(0, 120, 12))) for _ in range(30)]
+    texts: list[str | None] = [" ".join(w) for w in [*members, *chain, *apart]] + [None, "", " \t"]
+    assert near_groups(spark, texts, tree=32) == reference_copies(texts) == near_groups(spark, texts)
+
+
+def test_rows_with_one_id(spark: SparkSession) -> None:
+    """Unlike texts under one id are documents of their own; equal rows are kept once by the stage."""
+    import corpus_pipeline
+
+    texts = [f"some words that stand here alone {i} " * 5 for i in range(4)]
+    made = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[3])]
+    docs = common.written(spark.createDataFrame([(i, t, "en", f"s{k}", k) for k, (i, t) in enumerate(made)], "doc_id bigint, text string, lang string, source string, n_chars int"), "docs")
+    kept = sorted((str(r.doc_id), texts.index(r.text), r.source) for r in rows(corpus_pipeline.drop_near_copies(spark, docs, "")))
+    assert kept == [("1", 0, "s0"), ("1", 1, "s1"), ("None", 2, "s4"), ("None", 3, "s6")]
+
+
+def test_near_copies_in_a_hot_band(spark: SparkSession) -> None:
     """Over 2048 fingerprints share a band, and near copies share no other."""
     rng = random.Random(8)
     values = [rng.getrandbits(512) for _ in range(1100)]
-    made = [(2 * i + j, bytearray((v ^ j).to_bytes(64, "big")), [7, 100 + 2 * i + j]) for i, v in enumerate(values) for j in (0, 1)]
-    prints = spark.createDataFrame(made, "doc_id bigint, fp binary, bands array<bigint>")
-    monkeypatch.setattr(neardup, "fingerprints", lambda docs, width, make: docs)
-    assert {r.doc_id: r.component_id for r in rows(neardup.near_copies(prints))} == {i: i // 2 * 2 for i in range(2200)}
+    made = [(2 * i + j, bytearray((v ^ j).to_bytes(64, "big")), 9, [7, 100 + 2 * i + j]) for i, v in enumerate(values) for j in (0, 1)]
+    nodes = spark.createDataFrame(made, "node bigint, fp binary, size int, bands array<bigint>")
+    got = {r.node: r.root for r in rows(neardup.linked(nodes, F.col("bands"), 122, None, alike=0.8, check=lambda pairs: pairs))}
+    assert got == {i: i // 2 * 2 for i in range(2200)}
 
 
 def test_components(spark: SparkSession) -> None:
