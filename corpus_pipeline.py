@@ -1,14 +1,15 @@
 """A training-data pipeline over ``documents``: STAGES in order, each a table for the next.
 
 toxicity   drops what the nearest labelled examples call toxic (score 0.5 or more)
-near_dedup keeps one document, that with the least id, of each group of near copies: SimHash on five-
-           word shingles, linked at a likeness of 0.8 or more
+near_dedup keeps one document, that with the least id, of each group of near copies: SimHash finds
+           candidates, linked where their sets of five-word shingles are alike by 0.8 or more
 pii        replaces each span of personal data in the text by its kind, and counts characters anew
 mixing     repeats or drops documents so that sources meet their target weights
 packing    packs the documents' tokens into sequences of 1024
 
 Repeated rows are documents of their own until near_dedup; from there each is there once until mixing
-repeats it. A row with a null id is known by its text. SQL cannot express the stages (nearest
+repeats it. Rows are told apart by id and text: of rows equal in both, the least by language, source and
+count of characters stays. SQL cannot express the stages (nearest
 neighbours, Hamming components, tokenizer), so ORACLE_SQL is None; tests hold them against brute force.
 """
 
@@ -32,11 +33,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    by_text = F.lit(-1) - F.shiftrightunsigned(F.xxhash64("text"), 1)
-    keyed = docs.select(*COLUMNS, F.coalesce("doc_id", by_text).alias("__key"))
-    groups = neardup.near_copies(keyed.select(F.col("__key").alias("doc_id"), "text"))
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(COLUMNS)
+    groups = neardup.near_copies(docs.select("doc_id", "text"))
+    marks = groups.groupBy("doc_id", "text_hash").agg(F.bool_or("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows"))
+    # only rows that go or repeat are marked; texts that stay need not be dealt anew to find them
+    marks = written(marks.where(~F.col("__kept") | (F.col("__rows") > 1)).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}), "marks")
+    same = docs["doc_id"].eqNullSafe(marks["__id"]) & (F.xxhash64("text") == marks["__hash"])
+    alone = docs.join(marks, same, "left_anti").select(COLUMNS)
+    repeated = docs.join(marks.where("__kept"), same).groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("r"))
+    return alone.union(repeated.select("doc_id", "text", "r.lang", "r.source", "r.n_chars"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
