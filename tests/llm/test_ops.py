@@ -606,6 +606,10 @@ def test_base_spans_against_patterns() -> None:
         t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 18)))
         assert pii.base_spans(t) == reference_spans(t), t
     assert pii.base_spans("1" * 300_000 + "a" * 300_000 + "." * 300_000) == []
+    zeros = "0" * 5000
+    assert pii.base_spans(f"{zeros}.1.2.3 {zeros}1.1.2.3 9{zeros}.1.2.3") == [(0, 1, 5006), (5007, 1, 10014)]
+    for t in ("a" * 300_000, "a" * 300_000 + "@", "1 " * 200_000, "@" * 300_000, "@a" * 150_000, "a at b dot " * 30_000, "0.1.2.3 " * 30_000):
+        pii.instances(t, pii.base_spans(t))  # in time that grows with the text
 
 
 def test_personal_data(spark: SparkSession, edge: str, sf: str) -> None:
@@ -628,11 +632,75 @@ def test_contexts_find_unseen_identifiers(spark: SparkSession) -> None:
     new = {i: [r.text[s.start : s.stop] for s in r.spans if s not in r.base] for i, r in out.items()}
     assert new[20] == ["555-0123-777x"] and not any(v for i, v in new.items() if i != 20)
     assert [s.kind for s in out[20].spans] == [3]
-    hidden = pii.personal_data(df, ["doc_id", "text"]).select("doc_id", pii.masked("text", "spans").alias("m"))
-    shown = {r.doc_id: r.m for r in rows(hidden)}
+    hidden = pii.masked(pii.personal_data(df, ["doc_id", "text"]), "text", "spans")
+    shown = {r.doc_id: r.text for r in rows(hidden)}
     assert shown[20] == "so please reach me at <phone> thanks" and shown[21] == texts[21]
 
 
+def test_shapes_of_unseen_identifiers(spark: SparkSession) -> None:
+    texts = [f"you may call me on +1 555 01{i:02d} 99{i:02d} today" for i in range(20)]
+    texts += [f"kindly write to anna{i}.b@mail{i}.org soon" for i in range(20)]
+    unseen = ["555 867 5309", "(555) 123-4567", "555-0123-777x"]
+    texts += [f"you may call me on {x} today" for x in unseen]
+    addresses = ["jane(at)mail dot org", "jo [at] mail [dot] co [dot] uk", "max at mail dot org", "@maxmax"]
+    texts += [f"kindly write to {x} soon" for x in addresses] + ["in 2024 there were 15 of 300 left", "meet at noon dot"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: [(r.text[s.start : s.stop], pii.KINDS[s.kind]) for s in r.spans if s not in r.base] for r in rows(pii.personal_data(df, ["doc_id", "text"]))}
+    want = [(x, "phone") for x in unseen] + [(x, "email") for x in addresses]
+    assert [got[40 + i] for i in range(len(want))] == [[w] for w in want] and not any(got[i] for i in (*range(40), 47, 48))
+
+
+def reference_discovered(seen: list[tuple[int, str, list[str]]], support: int = 3, accept: float = 0.8) -> dict[str, int]:
+    edges = {(p, k, v) for k, v, found in seen for p in found}
+    accepted: dict[str, tuple[int, float]] = {}
+    while True:
+        score: dict = collections.defaultdict(lambda: 1.0)
+        for p in {p for p, _, _ in edges}:
+            mine = [(k, v) for q, k, v in edges if q == p]
+            for kind in range(4):
+                sure = [1.0 for k, _ in mine if k == kind] + [accepted[v][1] for k, v in mine if k < 0 and v in accepted and accepted[v][0] == kind]
+                if len(sure) >= support:
+                    for v in {v for k, v in mine if k < 0}:
+                        score[v, kind] *= max(1 - sum(sure) / (len(mine) + 1), 1e-9)
+        new = dict(accepted)
+        for v in {v for v, _ in score} - accepted.keys():
+            kind = min(range(4), key=lambda k: (score.get((v, k), 1.0), k))
+            if 1 - score[v, kind] >= accept:
+                new[v] = kind, 1 - score[v, kind]
+        if len(new) == len(accepted):
+            return {v: k for v, (k, _) in accepted.items()}
+        accepted = new
+
+
+def test_graph_against_brute_force(spark: SparkSession) -> None:
+    rng = random.Random(5)
+    for accept in (0.5, 0.8):
+        seen = []
+        for i in range(260):
+            kind = rng.choice((-1, -1, 0, 3))
+            home = rng.randrange(6) if kind < 0 else kind
+            seen.append((kind, f"v{i if kind >= 0 else rng.randrange(90)}-{kind}", [f"p{home * 4 + rng.randrange(5)}" for _ in range(2)]))
+        df = spark.createDataFrame([(k, v, p) for k, v, p in seen], "kind int, value string, patterns array<string>")
+        want = reference_discovered(seen, accept=accept)
+        assert {r.value: r.kind for r in rows(pii.discovered(df, accept=accept))} == want and want
+
+
+def test_what_was_found_finds_more(spark: SparkSession) -> None:
+    """A context that no seed has is learnt from discovered instances."""
+    seen = [(3, f"seed{i}", ["a"]) for i in range(40)] + [(-1, f"first{i}", ["a", "b"]) for i in range(8)] + [(-1, "second", ["b"]), (-1, "other", ["c"])]
+    df = spark.createDataFrame(seen, "kind int, value string, patterns array<string>")
+    assert {r.value: r.kind for r in rows(pii.discovered(df, accept=0.75))} == {f"first{i}": 3 for i in range(8)}
+    got = {r.value for r in rows(pii.discovered(df, accept=0.65))}
+    assert got == {*(f"first{i}" for i in range(8)), "second"}
+
+
+def test_masking_a_megabyte_of_addresses(spark: SparkSession) -> None:
+    text = " ".join(f"user{i}@host{i}.org" for i in range(50_000))
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in rows(pii.masked(pii.personal_data(df, ["doc_id", "text"]), "text", "spans"))}
+    assert got == {1: " ".join(["<email>"] * 50_000), 2: None, 3: ""}
+
+
 # 9: fingerprints
 
 
