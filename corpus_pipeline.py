@@ -44,9 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.personal_data(docs, COLUMNS)
-    text = F.when(F.size("spans") > 0, pii.masked("text", "spans")).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
+    out = pii.masked(pii.personal_data(docs, COLUMNS), "text", "spans")
     return out.withColumn("n_chars", F.coalesce(F.char_length("text").cast("bigint"), F.col("n_chars"))).select(COLUMNS)
 
 
