@@ -1,23 +1,30 @@
 """Quality rules and robust multivariate outliers (operator 7).
 
-Each document gives a vector of transformed statistics. For each language and source the minimum
-covariance determinant estimate of centre and scatter is found by concentration steps from a
-coordinatewise robust start (medians and quartiles): distances to the present estimate, then the
-estimate from the closest three quarters. A document is rejected when its squared Mahalanobis
-distance, scaled so that its group's median agrees with chi-squared, is beyond the cutoff.
+Each document gives a vector of transformed statistics. Every language and source, every language, and the
+whole table have a minimum covariance determinant estimate of centre and scatter. It starts from the best
+of many random starts over a hashed sample of the group (fast_mcd; a group within ``sample`` rows is its
+own sample), then concentrates over all the group's documents: distances to the present estimate, then the
+estimate from exactly the closest three quarters. At last it is made consistent by the median distance and
+taken once more from all documents within the 0.975 ellipse, whose cut the scatter is corrected for.
 
-A step is one aggregation: moments by (group, class of distance), which partial sums shrink to at
-most a few hundred rows a group; the estimate takes whole classes until three quarters of the
-documents are in. So no group meets in a task, and every document counts.
+A step is one aggregation: moments by (group, class of distance), which partial sums shrink to a few
+hundred rows a group; of the class at the edge of the three quarters the missing fraction counts, so ties,
+even of a whole group, neither add nor drop weight. No group meets in a task, and every document counts.
+
+Small groups say little about themselves, so an estimate of n documents is mixed with the next wider one,
+and counts n^2 / (n^2 + ``doubt``^2) of it: every document is judged, by its language and source as far as they are known.
+A document is rejected when its squared Mahalanobis distance is beyond ``cutoff``, by default what one in
+100,000 normal vectors exceeds.
 
 Edges: null and empty texts have no words and fail the base rules; a null language or source is a
-group of its own; groups below ``least`` rows are pooled, and if the pool is below it too its rows
-are kept; a scatter without spread is kept invertible by ``floor``; repeated rows count again.
+language or source of its own; a scatter without spread is kept invertible by FLOOR; repeated rows count
+again; columns of the caller with a name of the result give way to it; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 from statistics import NormalDist
 
@@ -109,58 +116,159 @@ def distance(columns: list[str]) -> Column:
     return F.greatest(reduce(lambda a, b: a + b, terms), F.lit(0.0))
 
 
-def robust_estimates(vectors: DataFrame, group: str, columns: list[str], floor: tuple[float, ...], inside: float = 0.75, steps: int = 5) -> DataFrame:
-    """(group, center, precision, scale) of each group of ``vectors``, a written table."""
+def widened(cov: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """The scatter with each variance at least the floor's."""
+    return cov + np.diag(np.maximum(floor**2 - np.diag(cov), 0) + 1e-9)
+
+
+def fast_mcd(x: np.ndarray, floor: np.ndarray, inside: float, starts: int = 50, best: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and scatter of the ``inside`` share of rows whose covariance has the least determinant: from
+    random subsets of d + 1 rows two concentration steps each, then the best few to convergence (Rousseeuw
+    and Van Driessen, 1999). Fewer than 2 (d + 1) rows: medians and the spreads about them."""
+    n, d = x.shape
+    if n < 2 * (d + 1):
+        center = np.median(x, axis=0)
+        return center, widened(np.diag((1.4826 * np.median(np.abs(x - center), axis=0)) ** 2), floor)
+    h = max(math.ceil(inside * n), d + 1)
+    rng = np.random.default_rng(7)
+
+    def moments(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return rows.mean(axis=0), widened(np.cov(rows.T, bias=True).reshape(d, d), floor)
+
+    def step(center: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        diff = x - center
+        away = np.einsum("ij,ij->i", diff @ np.linalg.inv(cov), diff)
+        return moments(x[np.argpartition(away, h - 1)[:h]])
+
+    tried = [moments(x)] + [moments(x[rng.choice(n, d + 1, replace=False)]) for _ in range(starts)]
+    tried = [step(*step(*e)) for e in tried]
+    found = []
+    for e in sorted(tried, key=lambda e: np.linalg.slogdet(e[1])[1])[:best]:
+        last = np.inf
+        for _ in range(100):
+            e = step(*e)
+            now = np.linalg.slogdet(e[1])[1]
+            if now >= last - 1e-12:
+                break
+            last = now
+        found.append((now, e))
+    return min(found, key=lambda f: f[0])[1]
+
+
+STEP = 16  # classes of distance to an octave
+
+
+def robust_estimates(vectors: DataFrame, group: str, columns: list[str], floor: tuple[float, ...], inside: float = 0.75, sample: int = 1000, steps: int = 2) -> DataFrame:
+    """(group, n, center, scatter) of each group of ``vectors(group, n, row, columns)``, a written table;
+    n is the group's size and row a number of the row's own. The scatter is consistent for normal data."""
     d = len(columns)
-    quart = vectors.groupBy(group).agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 2000).alias(c) for c in columns])
-    spread = [F.greatest((F.get(c, F.lit(2)) - F.get(c, F.lit(0))) / 1.349, F.lit(f)) for c, f in zip(columns, floor, strict=True)]
-    diagonal = F.array(*[F.lit(1.0) / spread[i] / spread[i] if i == j else F.lit(0.0) for i in range(d) for j in range(d)])
-    now = written(quart.select(group, F.array(*[F.get(c, F.lit(1)) for c in columns]).alias("center"), diagonal.alias("precision"), F.lit(1.0).alias("scale")), "start")
-    median = chi2_quantile(0.5, d)
-
-    def update(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("class")
-        upto = g["n"].cumsum().to_numpy()
-        take = g.iloc[: int(np.searchsorted(upto, inside * upto[-1])) + 1]
-        n = float(take["n"].sum())
-        mean = np.array([take[f"a{i}"].sum() for i in range(d)]) / n
-        cov = np.zeros((d, d))
-        for i in range(d):
-            for j in range(i, d):
-                cov[i, j] = cov[j, i] = take[f"b{i}_{j}"].sum() / n - mean[i] * mean[j]
-        sd = np.sqrt(np.maximum(np.diag(cov), 0))
-        cov += np.diag(np.maximum(np.array(floor) ** 2 - sd**2, 0) + 1e-9)
-        half = 2.0 ** (float(g["class"].iloc[int(np.searchsorted(upto, 0.5 * upto[-1]))] + 1) / 8)
-        return pd.DataFrame({group: [g[group].iloc[0]], "center": [mean + np.array(take["shift"].iloc[0])], "precision": [np.linalg.inv(cov).ravel()], "scale": [half / median]})
-
-    for _ in range(steps + 1):  # the scale that comes with a step is of the distances to the estimate before it
-        here = vectors.join(now, group)
-        level = F.floor(8 * F.log2(distance(columns) + F.lit(1e-6))).cast("int").alias("class")
-        shifted = [F.col(c) - F.get("center", F.lit(i)) for i, c in enumerate(columns)]
-        sums = [F.sum(shifted[i]).alias(f"a{i}") for i in range(d)] + [F.sum(shifted[i] * shifted[j]).alias(f"b{i}_{j}") for i in range(d) for j in range(i, d)]
-        classes = here.groupBy(group, level).agg(F.count(F.lit(1)).alias("n"), F.first("center").alias("shift"), *sums)
-        old, now = now, written(classes.groupBy(group).applyInPandas(update, now.schema), "estimate")
+    least = np.array(floor)
+    schema = f"`{group}` {vectors.schema[group].dataType.simpleString()}, n bigint, center array<double>, scatter array<double>, precision array<double>"
+
+    def row(g: pd.DataFrame, center: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({group: [g[group].iloc[0]], "n": [g["n"].iloc[0]], "center": [center], "scatter": [cov.ravel()], "precision": [np.linalg.inv(cov).ravel()]})
+
+    def start(g: pd.DataFrame) -> pd.DataFrame:
+        return row(g, *fast_mcd(g[columns].to_numpy("float64"), least, inside))
+
+    # about ``sample`` rows of a group start its estimate, by a hash of their numbers
+    part = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < F.lit(float(sample << 30)) / F.col("n")
+    now = written(vectors.where(part).select(group, "n", *columns).groupBy(group).applyInPandas(start, schema), "start")
+
+    def update(final: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(g: pd.DataFrame) -> pd.DataFrame:
+            g = g.sort_values("class")
+            counts = g["rows"].to_numpy("float64")
+            upto = np.cumsum(counts)
+            edge = 2.0 ** ((g["class"].to_numpy() + 1) / STEP)
+            half = edge[np.searchsorted(upto, 0.5 * upto[-1])]
+            if final:  # all rows near by the scale that the median gives
+                scale = half / chi2_quantile(0.5, d)
+                weight = (edge <= chi2_quantile(0.975, d) * scale).astype("float64")
+                weight[0] = 1.0
+            else:  # exactly the share inside; of the class at its edge the fraction that is missing
+                weight = np.clip((inside * upto[-1] - (upto - counts)) / counts, 0, 1)
+            sums = weight @ g[[f"a{i}" for i in range(d)] + [f"b{i}_{j}" for i in range(d) for j in range(i, d)]].to_numpy("float64")
+            n = weight @ counts
+            mean, cov = sums[:d] / n, np.zeros((d, d))
+            cov[np.triu_indices(d)] = sums[d:] / n
+            cov = np.triu(cov) + np.triu(cov, 1).T - np.outer(mean, mean)
+            return row(g, mean, widened(cov * reweighted(d) if final else cov, least))
+
+        return run
+
+    for i in range(steps + 1):
+        here = vectors.join(now.select(group, "center", "precision"), group)
+        level = F.floor(STEP * F.log2(distance(columns) + F.lit(1e-6))).cast("int").alias("class")
+        sums = [F.sum(columns[i]).alias(f"a{i}") for i in range(d)] + [F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"b{i}_{j}") for i in range(d) for j in range(i, d)]
+        classes = here.groupBy(group, level).agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"), *sums)
+        old, now = now, written(classes.groupBy(group).applyInPandas(update(i == steps), schema), "estimate")
         done_with(old)
-    return now
+    return now.select(group, "n", "center", "scatter")
+
+
+def reweighted(d: int) -> float:
+    """The factor that makes the covariance within the 0.975 ellipse that of all, for normal data."""
+    q = chi2_quantile(0.975, d)
+    return 0.975 / chi2_below(q, d + 2)
+
+
+def chi2_below(q: float, d: int) -> float:
+    """P(chi-squared of d degrees <= q), by the series of the incomplete gamma function."""
+    a, x = d / 2, q / 2
+    term = total = 1 / a
+    for k in range(1, 500):
+        term *= x / (a + k)
+        total += term
+    return total * math.exp(a * math.log(x) - x - math.lgamma(a))
+
+
+def shrunk(parts: DataFrame, floor: tuple[float, ...], doubt: float) -> DataFrame:
+    """(own, center, precision) from rows (own, and n, center, scatter of its own estimate, its language's
+    and the whole table's): each is mixed with the next wider one, half and half at ``doubt`` rows. The scatter
+    is the mixture's, so it also holds how far the centres lie apart."""
+    d = len(floor)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out: list[tuple] = []
+            for r in f.itertuples(index=False):
+                center, cov = np.asarray(r.center2), np.asarray(r.scatter2).reshape(d, d)
+                for n, c, s in ((r.n1, r.center1, r.scatter1), (r.n0, r.center0, r.scatter0)):
+                    w, c = n**2 / (n**2 + doubt**2), np.asarray(c)
+                    gap = c - center
+                    cov = w * np.asarray(s).reshape(d, d) + (1 - w) * cov + w * (1 - w) * np.outer(gap, gap)
+                    center = w * c + (1 - w) * center
+                out.append((r.own, center, np.linalg.inv(cov).ravel()))
+            yield pd.DataFrame(out, columns=["own", "center", "precision"])
+
+    return parts.mapInPandas(run, "own string, center array<double>, precision array<double>")
+
+
+RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
 
 
-def quality_verdicts(docs: DataFrame, columns: list[str], least: int = 100, cutoff: float = 45.0) -> DataFrame:
-    """``columns``, the base counts, base_failed, distance (null: not judged) and kept."""
-    stats = with_statistics(docs.select(*dict.fromkeys([*columns, "lang", "source", "text"])), [*dict.fromkeys([*columns, "lang", "source"])])
+def quality_verdicts(docs: DataFrame, columns: list[str], doubt: float = 50.0, cutoff: float | None = None) -> DataFrame:
+    """``columns``, the base counts, base_failed, distance (null where the base rules fail) and kept."""
+    cutoff = chi2_quantile(1 - 1e-5, len(STATS)) if cutoff is None else cutoff
+    columns = [c for c in columns if c not in RESULT]
+    renamed = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(columns)], F.col("text"), nullable_key(F.col("lang")).alias("__lang"), nullable_key(F.col("source")).alias("__source"))
+    own = [f"__c{i}" for i in range(len(columns))]
+    stats = with_statistics(renamed, [*own, "__lang", "__source"])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    group = F.concat_ws("\x1f", nullable_key(F.col("lang")), nullable_key(F.col("source")))
-    table = written(stats.withColumn("base_failed", failed).withColumn("__own", group), "statistics")
-    sizes = table.where(~F.col("base_failed")).groupBy("__own").agg((F.count(F.lit(1)) >= least).alias("__large"))
-    sizes = written(sizes, "sizes")  # one row a group, of known size: joined without dealing documents by group
+    keys = {"__0": F.concat_ws("\x1f", "__lang", "__source"), "__1": F.concat(F.lit("\x1f\x1f"), F.col("__lang")), "__2": F.lit("\x1f\x1f\x1f")}
+    table = written(stats.withColumn("base_failed", failed).withColumns(keys).withColumn("__row", F.monotonically_increasing_id()), "statistics")
     s = [f"s{i}" for i in range(len(STATS))]
-    placed = table.join(sizes, "__own", "left").withColumn("__group", F.when(F.col("__large"), F.col("__own")).otherwise(F.lit("*"))).drop("__own", "__large")
-    judged = placed.where(~F.col("base_failed"))
-    found = robust_estimates(judged, "__group", s, FLOOR)
-    pool = judged.groupBy("__group").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least).select("__group")
-    known = written(found.join(pool, "__group", "left_semi"), "known")
-    out = placed.join(known, "__group", "left")
-    out = out.withColumn("distance", F.when(~F.col("base_failed"), distance(s) / F.greatest("scale", F.lit(1.0))))
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).drop("__group", "center", "precision", "scale")
+    judged = table.where(~F.col("base_failed")).select(*s, F.col("__row").alias("row"), F.explode(F.array("__0", "__1", "__2")).alias("group"))
+    sizes = written(judged.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "sizes")  # a row for each source at most three times
+    vectors = written(judged.join(sizes, "group"), "vectors")
+    found = written(robust_estimates(vectors, "group", s, FLOOR), "found")
+    part = lambda i: found.select(F.col("group").alias(f"__{i}"), F.col("n").alias(f"n{i}"), F.col("center").alias(f"center{i}"), F.col("scatter").alias(f"scatter{i}"))
+    chain = table.where(~F.col("base_failed")).select("__0", "__1", "__2").distinct().join(part(0), "__0").join(part(1), "__1").join(part(2), "__2")
+    known = written(shrunk(chain.withColumnRenamed("__0", "own"), FLOOR, doubt).withColumnRenamed("own", "__0"), "known")
+    out = table.join(known, "__0", "left").withColumn("distance", F.when(~F.col("base_failed"), distance(s)))
+    out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(False)))
+    return out.select(*[F.col(o).alias(c) for o, c in zip(own, columns, strict=True)], *RESULT)
 
 
 def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

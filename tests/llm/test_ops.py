@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -555,21 +556,70 @@ def test_base_rules(spark: SparkSession, edge: str, sf: str, tables: Callable[..
         assert all(not r.kept for r in got if r.base_failed)
 
 
-def test_outliers_per_group(spark: SparkSession) -> None:
+def plain_mcd(x: np.ndarray, floor: np.ndarray, inside: float = 0.75) -> tuple[np.ndarray, np.ndarray]:
+    """Minimum covariance determinant of all rows by many starts, made consistent and reweighted."""
+    d = x.shape[1]
+    away = lambda c, s: np.einsum("ij,ij->i", (x - c) @ np.linalg.inv(s), x - c)
+    center, cov = quality.fast_mcd(x, floor, inside, starts=200, best=10)
+    far = away(center, cov)
+    near = x[far <= quality.chi2_quantile(0.975, d) * np.median(far) / quality.chi2_quantile(0.5, d)]
+    return near.mean(axis=0), quality.widened(np.cov(near.T, bias=True) * quality.reweighted(d), floor)
+
+
+def test_mcd_has_the_least_determinant() -> None:
+    """Against all subsets of a small sample."""
+    rng = np.random.default_rng(1)
+    for _ in range(5):
+        x = np.vstack((rng.normal(size=(9, 2)), rng.normal(5, 0.1, size=(3, 2))))
+        got = np.linalg.det(quality.fast_mcd(x, np.zeros(2), 0.75)[1])
+        best = min(np.linalg.det(np.cov(x[list(c)].T, bias=True)) for c in itertools.combinations(range(12), 9))
+        assert math.isclose(got, best, rel_tol=1e-4)
+    assert math.isclose(quality.chi2_below(quality.chi2_quantile(0.975, 8), 8), 0.975, abs_tol=1e-3)
+
+
+def test_estimates_are_those_of_a_plain_mcd(spark: SparkSession) -> None:
+    """Groups larger than the sample, contaminated by a fifth, one with half of its rows alike."""
     rng = np.random.default_rng(7)
-    cov = np.array([[1.0, 0.9], [0.9, 1.0]])
-    clean = rng.multivariate_normal([0, 0], cov, 900)
-    bad = rng.multivariate_normal([2, -2], cov * 0.05, 100)
-    other = rng.multivariate_normal([50, 50], cov, 400)
-    data = [("a", *map(float, x)) for x in np.vstack((clean, bad))] + [("b", *map(float, x)) for x in other]
-    table = common.written(spark.createDataFrame(data, "g string, s0 double, s1 double"), "v")
-    found = quality.robust_estimates(table, "g", ["s0", "s1"], (0.01, 0.01))
-    far = table.join(found, "g").withColumn("d", quality.distance(["s0", "s1"]) / F.col("scale"))
-    got = rows(far)
-    cut = quality.chi2_quantile(0.999, 2)
-    assert sum(r.d > cut for r in got if r.g == "a" and r.s0 - r.s1 > 3) >= 80
-    assert sum(r.d > cut for r in got if r.g == "a" and abs(r.s0 - r.s1) < 1.2) <= 5
-    assert sum(r.d > cut for r in got if r.g == "b") <= 8
+    cov = np.array([[1.0, 0.8, 0.0], [0.8, 1.0, 0.3], [0.0, 0.3, 0.5]])
+    bad = rng.multivariate_normal([6, -6, 3], cov * 0.05, 600)
+    groups = {
+        "a": np.vstack((rng.multivariate_normal([0, 0, 0], cov, 2400), bad)),
+        "b": rng.multivariate_normal([50, 50, 1], cov * 4, 900),
+        "c": np.vstack((rng.multivariate_normal([3, 0, 0], cov, 700), np.tile([3.0, 0.0, 0.0], (800, 1)))),
+        "d": rng.normal(size=(5, 3)),
+    }
+    data = [(g, len(x), i, *map(float, v)) for g, x in groups.items() for i, v in enumerate(x)]
+    columns = ["s0", "s1", "s2"]
+    table = common.written(spark.createDataFrame(data, "g string, n bigint, row bigint, s0 double, s1 double, s2 double"), "v")
+    floor = (0.05, 0.05, 0.05)
+    got = {r.g: (np.array(r.center), np.array(r.scatter).reshape(3, 3)) for r in rows(quality.robust_estimates(table, "g", columns, floor, sample=500))}
+    assert got.keys() == groups.keys()
+    for g in "abc":
+        center, scatter = plain_mcd(groups[g], np.array(floor))
+        assert np.allclose(got[g][0], center, atol=0.15) and np.allclose(got[g][1], scatter, rtol=0.15, atol=0.1 * scatter.max()), g
+    away = np.einsum("ij,ij->i", (groups["a"] - got["a"][0]) @ np.linalg.inv(got["a"][1]), groups["a"] - got["a"][0])
+    cut = quality.chi2_quantile(0.999, 3)
+    assert (away[2400:] > cut).all() and (away[:2400] > cut).mean() < 0.01
+    assert np.allclose(got["a"][1], cov, atol=0.15)  # consistent for normal data
+
+
+def test_large_groups_and_small_ones(spark: SparkSession, tables: Callable[..., str]) -> None:
+    """Each language and source is judged by its own documents where there are many; a lone one too."""
+    rng = random.Random(3)
+    vocabulary = [f"w{chr(97 + i % 26)}{i}" for i in range(400)]
+
+    def text(n: int, mark: float) -> str:
+        return " ".join(rng.choice(vocabulary) + "#" * (rng.random() < mark) for _ in range(n))
+
+    made = [(i, text(rng.randint(80, 160), (0.0, 0.9)[i % 2]), "en", f"s{i % 2}", 0) for i in range(1200)]
+    odd = [(2000 + i, text(100, (0.9, 0.0)[i % 2]), "en", f"s{i % 2}", 0) for i in range(6)]
+    lone = [(3000, text(100, 0.0), "xx", None, 0), (3001, text(100, 0.0), None, "only", 0), (3002, "short", "xx", None, 0)]
+    got = {r.doc_id: r for r in rows(quality.op7_robust_outliers(spark, tables(made + odd + lone)))}
+    assert sum(not got[i].kept for i in range(1200)) <= 3
+    assert not any(got[2000 + i].kept for i in range(6))  # usual in the other source, not in their own
+    assert all(got[i].distance is not None and got[i].kept for i in (3000, 3001)) and got[3002].distance is None
+    clash = quality.quality_verdicts(spark.read.parquet(tables(lone) + "/documents.parquet").withColumn("kept", F.lit("x")).withColumn("s0", F.lit(1)), ["doc_id", "kept", "s0"])
+    assert clash.columns == ["doc_id", "s0", *quality.RESULT] and len(rows(clash)) == 3
 
 
 def test_quality_keeps_clean_documents(spark: SparkSession, sf: str) -> None:
