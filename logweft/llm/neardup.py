@@ -30,8 +30,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from heapq import nsmallest
 from itertools import combinations
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ from .common import components, documents, done_with, written
 from .words import U64, grouped, mixed, text_words
 
 WIDE = 512
-NEAR, LATER = 4, 32
+NEAR, LATER = 1, 8
 #: What tells the places in a shingle, the lanes of a fingerprint and the min-hashes apart.
 ODD = mixed(np.arange(1, 129, dtype=U64)) | U64(1)
 
@@ -178,7 +178,8 @@ class Searcher:
     """The searches of a task, shard by shard: rows of a shard come together, those to be stored first.
 
     A row that is compared is linked to its ``near`` nearest neighbours of other components (``root``), and
-    to the nearest in each component that no link of this shard has joined to its own yet."""
+    to the nearest in each component that no link of this shard has joined to its own yet. Where rows bring
+    all their keys, a pair that shares an earlier one belongs to that key's shard and is not emitted here."""
 
     def __init__(self, radius: int, near: int, alike: float) -> None:
         self.radius, self.near, self.alike = radius, near, alike
@@ -190,22 +191,30 @@ class Searcher:
             parent[x] = x = parent.get(p, p)
         return x
 
-    def links(self, shard: int, node: int, value: int, size: int, root: int, stored: bool, compared: bool) -> Iterator[tuple[int, int]]:
+    def links(self, shard: int, key: int, node: int, value: int, size: int, root: int, keys: list[int] | None, stored: bool, compared: bool) -> Iterator[tuple[int, int]]:
         if shard != self.shard:
             self.shard, self.tree, self.known, self.parent = shard, BKTree(), {}, {}
+        before = keys[: keys.index(key)] if keys else []
         if compared:
             known, alike = self.known, self.alike
-            found = [(d, other) for d, other in self.tree.within(value, self.radius) if known[other][1] != root]
+            found = sorted((d, other) for d, other in self.tree.within(value, self.radius) if known[other][1] != root)
             if alike:  # sets whose sizes differ by more cannot be alike enough
                 found = [(d, o) for d, o in found if min(size, known[o][0]) >= alike * max(size, known[o][0])]
-            close = set(nsmallest(self.near, found))
-            for d, other in sorted(found):
+            if before:
+                own = []
+                for x in found:
+                    if any(map(eq, before, known[x[1]][2])):
+                        self.parent[self.top(root)] = self.top(known[x[1]][1])
+                    else:
+                        own.append(x)
+                found = own
+            for i, (_, other) in enumerate(found):
                 a, b = self.top(root), self.top(known[other][1])
-                if a != b or (d, other) in close:
+                if a != b or i < self.near:
                     self.parent[a] = b
                     yield node, other
         if stored:
-            self.known[node] = size, root
+            self.known[node] = size, root, before
             self.tree.add(value, node)
 
 
@@ -227,34 +236,37 @@ def piece_keys(bits: int, radius: int) -> Column:
 
 
 def placed(nodes: DataFrame, keys: Column, finer: Column | None, tree: int) -> DataFrame:
-    """(key, node, fp, size, trees, home) of nodes that share a shard: a written table. ``home`` is the
+    """(key, node, fp, size, keys, n, trees, home) of nodes that share a shard: a written table. ``home`` is the
     node's own tree of the shard's ``trees``. ``finer``: keys, of which two nodes to be linked share one at
-    least, that cut shards above ``tree``; None where there are no such keys."""
-    spread = nodes.select("node", "fp", "size", *([] if finer is None else [finer.alias("finer")]), F.explode(keys).alias("key"))
+    least, that cut shards above ``tree``; None where there are no such keys: then rows bring all their keys."""
+    every = F.lit(None).cast("array<bigint>") if finer is not None else keys
+    spread = nodes.select("node", "fp", "size", every.alias("keys"), *([] if finer is None else [finer.alias("finer")]), F.explode(keys).alias("key"))
     shared = written(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    at = ["key", "node", "fp", "size", "n", F.ceil(F.col("n") / tree).cast("int").alias("trees")]
+    at = ["key", "node", "fp", "size", "keys", "n", F.ceil(F.col("n") / tree).cast("int").alias("trees")]
     once = spread.join(shared if finer is None else shared.where(F.col("n") <= tree), "key").select(*at)
     large = shared.where(F.col("n") > tree)
     if finer is not None and large.limit(1).count():
-        cut = spread.join(large, "key").select("node", "fp", "size", "key", F.explode("finer").alias("f"))
-        cut = cut.where("f <> key").select("node", "fp", "size", F.xxhash64("key", "f").alias("key"))
+        cut = spread.join(large, "key").select("node", "fp", "size", "keys", "key", F.explode("finer").alias("f"))
+        cut = cut.where("f <> key").select("node", "fp", "size", "keys", F.xxhash64("key", "f").alias("key"))
         sizes = written(cut.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "finer")
         once = once.union(cut.join(sizes, "key").select(*at))
-    return written(once.withColumn("home", F.pmod(F.xxhash64("key", "node"), F.col("trees")).cast("int")), "placed")
+    table = written(once.withColumn("home", F.pmod(F.xxhash64("key", "node"), F.col("trees")).cast("int")), "placed")
+    done_with(shared)
+    return table
 
 
 def searched(stored: DataFrame, asked: DataFrame | None, radius: int, near: int, alike: float) -> DataFrame:
-    """Distinct links (a, b), a above b, of rows (key, tree, node, fp, size, root): those ``asked`` are held
+    """Distinct links (a, b), a above b, of rows (key, tree, node, fp, size, root, keys): those ``asked`` are held
     against those stored in their tree, or without them each stored row against the others."""
     sent = stored.withColumn("stored", F.lit(True)).withColumn("compared", F.lit(asked is None))
     if asked is not None:
         sent = sent.unionByName(asked.withColumn("stored", F.lit(False)).withColumn("compared", F.lit(True)))
-    sent = sent.select(F.xxhash64("key", "tree").alias("shard"), "node", "fp", "size", "root", "stored", "compared")
+    sent = sent.select(F.xxhash64("key", "tree").alias("shard"), "key", "node", "fp", "size", "root", "keys", "stored", "compared")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = Searcher(radius, near, alike)
         for b in batches:
-            found = [x for s, n, f, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in at.links(s, n, int.from_bytes(f), *rest)]
+            found = [x for s, k, n, f, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in at.links(s, k, n, int.from_bytes(f), *rest)]
             yield pa.RecordBatch.from_arrays([pa.array([max(x) for x in found], pa.int64()), pa.array([min(x) for x in found], pa.int64())], names=["a", "b"])
 
     dealt = sent.repartition("shard").sortWithinPartitions("shard", F.desc("stored"))
@@ -265,15 +277,15 @@ def linked(nodes: DataFrame, keys: Column, radius: int, finer: Column | None, tr
     """(node, root) of ``nodes(node, fp, size, ..)`` with a link, root the least node reachable. Links join
     what shares a key and is within the radius.
 
-    With ``check``, which maps candidates to those that are links, a node's nearest candidate may fail where
+    With ``check``, which maps a written table of candidates to one of those that are links, a node's nearest candidate may fail where
     a farther one would not: NEAR candidates of each node are checked, and in the second turn, which then
     takes all shards that hold more, LATER of each node outside its shard's largest component."""
     table = placed(nodes, keys, finer, tree)
-    row = ["key", "node", "fp", "size", "root"]
+    row = ["key", "node", "fp", "size", "root", "keys"]
     own = table.withColumn("root", F.col("node")).select(*row, F.col("home").alias("tree"))
     near, later = (NEAR, LATER) if check else (0, 0)
     tried = written(searched(own, None, radius, near, alike), "candidates")
-    edges = written(check(tried), "links") if check else tried
+    edges = check(tried) if check else tried
     found = components(edges)
     several = table.where((F.col("trees") > 1) | (F.col("n") > near + 1) if check else F.col("trees") > 1)
     if several.limit(1).count():
@@ -284,9 +296,10 @@ def linked(nodes: DataFrame, keys: Column, radius: int, finer: Column | None, tr
         asked = outside.select(*row, "home", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"))
         asked = (asked if check else asked.where("tree <> home")).drop("home")
         more = searched(rooted.select(*row, F.col("home").alias("tree")), asked, radius, later, alike)
-        more = more.join(tried, ["a", "b"], "left_anti")
-        found = components(edges.union(written(check(more) if check else more, "more")))
-    done_with(table)
+        more = written(more.join(tried, ["a", "b"], "left_anti"), "more")
+        found = components(edges.union(check(more) if check else more))
+        done_with(rooted, major, more)
+    done_with(table, tried, *([edges] if check else []))
     return found
 
 
@@ -301,9 +314,8 @@ def near_components(prints: DataFrame, keys: Column, radius: int, finer: Column
 
 
 def alike_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the Jaccard similarity, compared by 32 bits of each hash;
-    ``nodes(node, digest, row)`` names a document of ``docs(row, text)`` for each node."""
-    pairs = written(pairs, "candidates")
+    """A written table of the pairs (a, b) whose shingle sets have the Jaccard similarity, compared by 32 bits
+    of each hash; ``nodes(node, digest, row)`` names a document of ``docs(row, text)`` for each node."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     asked = written(nodes.join(ends, "node", "left_semi").select("node", "digest", "row"), "asked")
 
@@ -328,7 +340,9 @@ def alike_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int,
             yield b.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
     named = lambda n, c: sets.select(F.col("node").alias(n), F.col("shingles").alias(c))
-    return pairs.join(named("a", "x"), "a").join(named("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
+    good = written(pairs.join(named("a", "x"), "a").join(named("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint"), "alike")
+    done_with(asked, sets)
+    return good
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, tree: int = 2048) -> DataFrame:
@@ -355,11 +369,11 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, tree:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     nodes = prints.groupBy("digest").agg(F.min("row").alias("row"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"), F.any_value("size").alias("size"), first)
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    found = linked(nodes, F.col("bands"), radius, None, tree, similarity, lambda pairs: alike_pairs(pairs, nodes, keyed, width, similarity))
-    rooted = nodes.join(written(found, "roots"), "node", "left").select("digest", F.coalesce("root", "node").alias("root"), "first")
-    rooted = written(rooted, "rooted")
-    chosen = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    chosen = written(rooted.select("digest", "root").join(chosen, "root").select("digest", "first"), "chosen")
+    found = written(linked(nodes, F.col("bands"), radius, None, tree, similarity, lambda pairs: alike_pairs(pairs, nodes, keyed, width, similarity)), "roots")
+    rooted = written(nodes.join(found, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), "first"), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    chosen = written(rooted.select("digest", "root").join(least, "root").select("digest", "first"), "chosen")
+    done_with(nodes, found, rooted)
     out = prints.select("doc_id", "text_hash", "digest").join(chosen, "digest")
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     return out.select("doc_id", "text_hash", F.col("first.doc_id").alias("component_id"), kept.alias("kept"))
