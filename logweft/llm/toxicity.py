@@ -83,7 +83,7 @@ class Index:
     first, and of the others those whose bound reaches the k-th best cosine found there. Cosines are in
     single precision; SLACK is more than that loses."""
 
-    RARE = 16
+    RARE = 24
     SLACK = 2e-5
     FEW = 8
 
@@ -297,7 +297,7 @@ def example_terms(docs: DataFrame, labels: DataFrame, examples: int, postings: i
     return table if fit == len(sizes) else table.where(F.col("key") < sizes[fit][0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, k: int = 32, prior: float = 0.5, block: int = 256, examples: int = 20_000, postings: int = 6_000_000, mod: int = 5) -> Judge | None:
+def fit(docs: DataFrame, labels: DataFrame, k: int = 32, prior: float = 0.5, block: int = 512, examples: int = 20_000, postings: int = 6_000_000, mod: int = 5) -> Judge | None:
     """The judge of ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``; None without examples."""
     spark = docs.sparkSession
     table = example_terms(docs, labels, examples, postings, mod)
