@@ -25,9 +25,12 @@ _made: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, a laptop) is a local folder made and set.
+    Only a local session that leaves it unset (tests, a laptop) gets a local folder; on a cluster others
+    could not read that, so there the setting is required.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="logweft-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -90,6 +93,11 @@ def nullable_key(c: Column) -> Column:
     return F.when(c.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), c.cast("string")))
 
 
+def salts(rows: int, each: int = 200_000, least: int = 16) -> int:
+    """How many salts keep a salt's share of ``rows`` near ``each``."""
+    return max(least, -(-rows // each))
+
+
 def rank_within(df: DataFrame, keys: Sequence[str], salt: Column, order: Sequence[Column], out: str) -> DataFrame:
     """Adds the 0-based rank within ``keys`` (none may be null) without bringing a key into one task.
 

@@ -20,6 +20,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
@@ -72,38 +73,56 @@ def near_fingerprints(index: DataFrame, queries: DataFrame, radius: int) -> Data
     return left.join(right, ["t", "k"]).where(close).select("query", "fp").distinct()
 
 
-def id_ranges(docs: DataFrame, doc_id: str, rows: int = 1000, most: int = 1024) -> Column:
-    """The number of a row's range of ids: about ``rows`` rows each, ``most`` ranges at most. The cuts
-    are quantiles; two levels of them keep the search short. Null ids are in range -1."""
+ROWS, WIDTH = 1000, 1024
+
+
+def above(cuts: Column, value: Column) -> Column:
+    """How many of an array's numbers a value reaches."""
+    return F.size(F.filter(cuts, lambda x: x <= value))
+
+
+def with_ranges(docs: DataFrame, doc_id: str) -> DataFrame:
+    """Adds __range, the number of a row's range of ids: about ROWS rows each. The cuts are quantiles, WIDTH
+    of the whole table and, where these ranges are larger, up to WIDTH of each; two levels of a search keep
+    it short. Null ids are in range -1."""
     n = docs.select(doc_id).count()
-    width = max(1, min(32, round((n / rows) ** 0.5), round(most**0.5)))
+    width = max(1, min(round(WIDTH**0.5), round((n / ROWS) ** 0.5)))
     points = [i / width**2 for i in range(1, width**2)]
     cuts = docs.select(F.percentile_approx(doc_id, points, 10000)).first()[0] if points and n else None
+    null = F.col(doc_id).isNull()
     if not cuts:
-        return F.when(F.col(doc_id).isNull(), F.lit(-1)).otherwise(F.lit(0))
+        return docs.withColumn("__range", F.when(null, F.lit(-1)).otherwise(F.lit(0)).cast("bigint"))
     upper = F.array(*[F.lit(x) for x in cuts[width - 1 :: width]])
     lower = F.array(*[F.array(*[F.lit(x) for x in cuts[i * width : i * width + width - 1]]) for i in range(width)])
-    passed = lambda a: F.size(F.filter(a, lambda x: x <= F.col(doc_id)))
-    high = passed(upper)
-    return F.when(F.col(doc_id).isNull(), F.lit(-1)).otherwise(high * width + passed(F.get(lower, high)))
+    high = above(upper, F.col(doc_id))
+    ranged = docs.withColumn("__range", F.when(null, F.lit(-1)).otherwise(high * width + above(F.get(lower, high), F.col(doc_id))).cast("bigint"))
+    more = min(round(WIDTH**0.5), math.ceil((n / ROWS / width**2) ** 0.5))
+    if more < 2:
+        return ranged
+    points = [i / more**2 for i in range(1, more**2)]
+    inner = ranged.where("__range >= 0").groupBy("__range").agg(F.percentile_approx(doc_id, points, 10000).alias("__cuts"))
+    ranged = ranged.join(F.broadcast(written(inner, "cuts")), "__range", "left")  # at most WIDTH rows of WIDTH numbers
+    at = above(F.transform(F.sequence(F.lit(1), F.lit(more - 1)), lambda i: F.get("__cuts", i * more - 1)), F.col(doc_id))
+    part = at * more + above(F.slice("__cuts", at * more + 1, F.lit(more - 1)), F.col(doc_id))
+    return ranged.withColumn("__range", F.when(null, F.lit(-1)).otherwise(F.col("__range") * more**2 + part)).drop("__cuts")
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
-    """(__range, __place, doc_id, text, edited) of documents with ``text`` not null."""
-    ranged = docs.withColumn("__range", id_ranges(docs, "doc_id"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    within = Window.partitionBy("__range").orderBy(*order)
-    tops = [r[0] for r in ranged.groupBy("__range").agg(F.max("doc_id")).select("max(doc_id)").collect()]  # one id a range
-    firsts = ranged.where(F.col("doc_id").isin([x for x in tops if x is not None]) | F.col("doc_id").isNull())
-    firsts = firsts.groupBy("__range").agg(F.min("text").alias("first"))
+    """(__range, __place, doc_id, text, edited) of documents with ``text`` not null. Each range also gets
+    the text that follows its last row, the first of the next range, so one window finds all successors."""
+    ranged = with_ranges(docs, "doc_id")
     down = Window.orderBy(F.desc("__range"))
     every = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = firsts.select("__range", F.coalesce(F.lead("first").over(down), F.first("first").over(every)).alias("__beyond"))
-    led = ranged.withColumn("__next", F.lead("text").over(within)).withColumn("__place", F.row_number().over(within))
-    led = led.join(firsts, "__range")
+    tops = ranged.groupBy("__range").agg(F.max("doc_id").alias("top"))
+    tops = written(tops.withColumn("before", F.coalesce(F.lag("__range").over(down), F.min("__range").over(every))), "tops")
+    firsts = ranged.join(F.broadcast(tops), "__range").where(F.col("doc_id").eqNullSafe(F.col("top")))  # one row a range, WIDTH^2 at most
+    firsts = firsts.groupBy(F.col("before").alias("__range")).agg(F.min("text").alias("text")).withColumns({"doc_id": F.lit(None).cast(ranged.schema["doc_id"].dataType), "__beyond": F.lit(True)})
+    rows = ranged.withColumn("__beyond", F.lit(False)).unionByName(firsts)
+    within = Window.partitionBy("__range").orderBy("__beyond", F.col("doc_id").desc_nulls_last(), F.col("text"))
+    led = rows.withColumn("__next", F.lead("text").over(within)).withColumn("__place", F.row_number().over(within)).where("not __beyond")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.coalesce("__next", "__beyond"), F.lit(1), half))
+    edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("__next", F.lit(1), half))
     return led.select("__range", "__place", "doc_id", "text", edited.alias("edited"))
 
 

@@ -9,11 +9,15 @@ The running sum is rank times expected copies in 26-bit fixed point, exact in 64
 ranks only: counts by (source, size class, salt), and a row number within these cells.
 
 Edges: a null text has size 0; a null source is a source of its own, last in order; an empty table
-gives no rows; repeated rows are documents of their own; null ids are ranked together.
+gives no rows; repeated rows are documents of their own; null ids are ranked together; columns of the
+caller with a name of the result give way to it. Ranks times copies stay below 2^63 up to 4.5e10 documents
+of a source.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,8 +53,8 @@ def systematic_mix(docs: DataFrame, size: str, source: str, doc_id: str, seed: i
     """Adds source_size, target, copies to ``docs``; a document's copies are 0 to ``most``.
 
     ``docs`` is read three times; pass a narrow written table."""
+    docs = docs.drop(*[c for c in ("source_size", "target", "copies") if c not in (size, source, doc_id)])
     src = docs.withColumn("__key", nullable_key(F.col(source))).withColumn("__class", size_class(F.col(size)))
-    salt = F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, 2)
     per_class = src.groupBy("__key", "__class").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("s"))
     totals = per_class.groupBy(F.col("__key").alias("source_key")).agg(F.sum("s").alias("source_size"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -59,7 +63,11 @@ def systematic_mix(docs: DataFrame, size: str, source: str, doc_id: str, seed: i
     before = Window.partitionBy("__key").orderBy(F.desc("__class")).rowsBetween(Window.unboundedPreceding, -1)
     first = per_class.select("__key", "__class", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
     first = written(first.join(plan, "__key"), "plan")  # a row for each source and class: joined without moving texts
-    ranked = rank_within(src, ["__key", "__class"], salt, [F.col(doc_id)], "__rank").join(first, ["__key", "__class"])
+    # the order within a class is the id's hash; its first digits, as many as the largest class needs, are the salt
+    most_rows = per_class.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    digits = max(2, math.ceil(math.log(max(most_rows, 1) / 200_000 + 1, 16)))
+    name = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
+    ranked = rank_within(src, ["__key", "__class"], F.substring(name, 1, digits), [name, F.col(doc_id)], "__rank").join(first, ["__key", "__class"])
     at = (F.col("__first") + F.col("__rank")) * F.col("__rate") + F.col("__start")
     copies = F.shiftright(at + F.col("__rate"), FIXED_BITS) - F.shiftright(at, FIXED_BITS)
     return ranked.withColumn("copies", copies).drop("__key", "__class", "__rank", "__first", "__rate", "__start")
@@ -90,6 +98,6 @@ p AS (SELECT k, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE rest * w END
              ('0x' || substr(md5('7:' || k), 1, 6))::BIGINT * 4 AS start FROM t, r),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size * 67108864)::BIGINT ELSE 0 END AS rate FROM p),
 o AS (SELECT d.*, q.source_size, q.target, q.rate, (row_number() OVER (PARTITION BY d.k ORDER BY length(bin(size)) * 10000 + substr(bin(size), 1, 4)::INT DESC,
-             substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 2), doc_id) - 1) * q.rate + q.start AS pos FROM d JOIN q USING (k))
+             md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1) * q.rate + q.start AS pos FROM d JOIN q USING (k))
 SELECT doc_id, size, source_size, target, size * (((pos + rate) >> 26) - (pos >> 26)) AS taken FROM o
 """

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, rank_within, written
+from .common import documents, rank_within, salts, written
 
 OTHER_SCRIPT = re.compile("[^\x00-ɏ]")
 BLANKS = re.compile(r"\s{2000}")
@@ -56,13 +56,15 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     special = [t["content"] for t in spec["added_tokens"]]
     back = byte_symbols()
     ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+    split = spec.get("pre_tokenizer") or {}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    known = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not spec.get("normalizer") and spec["model"].get("type") == "BPE"
     fast = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     exact: list[Tokenizer] = []
 
     def encode(text: str) -> np.ndarray:
         plain = (text.isascii() or not OTHER_SCRIPT.search(text)) and not any(s in text for s in special)
-        if plain and not (len(text) > 2000 and BLANKS.search(text)):
+        if known and plain and not (len(text) > 2000 and BLANKS.search(text)):
             return np.asarray(fast.encode_ordinary(text), dtype="<u4")
         if not exact:
             exact.append(Tokenizer.from_file(path))
@@ -145,7 +147,8 @@ def pack(parts: DataFrame, capacity: int) -> DataFrame:
 
     names = parts.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
-    ranked = rank_within(parts, ["length"], F.pmod(F.xxhash64("doc_id", "piece"), F.lit(64)), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "__rank")
+    cells = salts(max(counts.values(), default=0), least=64)
+    ranked = rank_within(parts, ["length"], F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(cells)), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "__rank")
     return ranked.mapInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
 
 

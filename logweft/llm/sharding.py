@@ -4,13 +4,13 @@ Rows are ordered by a 64-bit hash of the text, so equal texts are neighbours. Ca
 (probes) are refined: each turn counts the exact bytes below every probe over all partitions, and
 each wanted boundary keeps the tightest interval that still holds it. A boundary is settled when its
 bytes are within the tolerance, or when its interval holds a single hash value. A group of equal
-texts stays whole unless it alone breaks the tolerance; then a second search, over a hash of the row
-id within that value, splits it. After that the rows are exchanged once, by shard.
+texts stays whole unless it alone breaks the tolerance; then a second search, over a hash of the row's
+id and place within that value, splits it. After that the rows are exchanged once, by shard.
 
 What reaches the driver in a turn is one row per probe, whatever the input's size.
 
-Edges: a null text counts as empty; null ids hash alike; rows equal in text and id cannot be told
-apart by any key and stay together; an empty table gives no rows.
+Edges: a null text counts as empty; rows equal in text and id are told apart by their place in the table,
+so repeated rows, null ids among them, split as others do; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, rank_within, written
+from .common import documents, rank_within, salts, written
 
 LOW, HIGH = -(2**63), 2**63
 Splitter = tuple[int, int]
@@ -128,14 +128,35 @@ def shard_of(df: DataFrame, bounds: list[Splitter], out: str) -> DataFrame:
     return df.mapInArrow(place, f"{kinds}, `{out}` int")
 
 
+RESULT = ("size", "text_crc32", "shard", "slot")
+
+
+def keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``docs`` with size, text_crc32 and the sort keys; rows equal in text and id differ by their place."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    plain = docs.drop(*[c for c in RESULT if c not in (text, doc_id)])
+    return plain.withColumns({"__size": (F.octet_length(t) + 16).cast("bigint"), "__crc": F.crc32(t.cast("binary")), "__k1": F.xxhash64(t), "__k2": F.xxhash64(doc_id, F.monotonically_increasing_id())})
+
+
 def histogram_shards(docs: DataFrame, text: str, doc_id: str, n_shards: int, tolerance: float = 0.002) -> DataFrame:
     """Adds size (UTF-8 bytes + 16), text_crc32, shard and slot to ``docs`` and drops the text; shards
-    have near equal bytes. The searches read a written table of keys and sizes; its rows move once."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumns({"size": (F.octet_length(t) + 16).cast("bigint"), "text_crc32": F.crc32(t.cast("binary")), "__k1": F.xxhash64(t), "__k2": F.xxhash64(doc_id)})
-    narrow = written(keyed.drop(text), "keys")
-    placed = shard_of(narrow, splitters(narrow, "size", n_shards, tolerance), "shard")
-    return rank_within(placed, ["shard"], F.pmod("__k2", F.lit(16)), [F.col("__k1"), F.col("__k2"), F.col(doc_id)], "slot").drop("__k1", "__k2")
+    have near equal bytes. The searches read a written table of keys and sizes; its rows move once.
+    Columns of the caller with a name of the result give way to it."""
+    narrow = written(keyed(docs, text, doc_id).drop(text), "keys")
+    placed = shard_of(narrow, splitters(narrow, "__size", n_shards, tolerance), "__shard")
+    cells = salts(narrow.count() // max(1, n_shards))
+    ranked = rank_within(placed, ["__shard"], F.pmod("__k2", F.lit(cells)), [F.col("__k1"), F.col("__k2")], "__slot")
+    return ranked.withColumnsRenamed({"__size": "size", "__crc": "text_crc32", "__shard": "shard", "__slot": "slot"}).drop("__k1", "__k2")
+
+
+def write_shards(docs: DataFrame, path: str, text: str, doc_id: str, n_shards: int, tolerance: float = 0.002, files: int = 1) -> None:
+    """Writes all columns of ``docs`` as Parquet, a folder shard=i for each shard, each of ``files`` files
+    that are ranges of the key and sorted by it. Texts move once; keys alone are searched."""
+    whole = keyed(docs, text, doc_id)
+    narrow = written(whole.select("__k1", "__k2", "__size"), "keys")
+    placed = shard_of(whole, splitters(narrow, "__size", n_shards, tolerance), "shard").drop("__size", "__crc")
+    dealt = placed.repartitionByRange(n_shards * files, "shard", "__k1", "__k2").sortWithinPartitions("shard", "__k1", "__k2")
+    dealt.drop("__k1", "__k2").write.partitionBy("shard").parquet(path)
 
 
 def op4_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -324,7 +324,8 @@ def test_chat_round_trip(spark: SparkSession, edge: str) -> None:
 
 def test_shards(spark: SparkSession, edge: str, sf: str, tables: Callable[..., str]) -> None:
     hot = [(i, "same text over and over" if i % 3 == 0 else f"text {i} " * (1 + i % 9), "en", "s", 0) for i in range(4000)]
-    for folder in (edge, sf.replace("sf0.001", "sf0.01"), tables(hot)):
+    repeated = [(7 if i % 2 else None, "one row again and again", "en", "s", 0) for i in range(4000)]
+    for folder in (edge, sf.replace("sf0.001", "sf0.01"), tables(hot), tables(repeated)):
         docs = rows(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
         got = rows(sharding.op4_histogram_sort(spark, folder))
         want = collections.Counter((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in docs)
@@ -339,6 +340,23 @@ def test_shards(spark: SparkSession, edge: str, sf: str, tables: Callable[..., s
         assert all(abs(total[s] - ideal) <= largest + 0.01 * ideal for s in range(40))
 
 
+def test_written_shards(spark: SparkSession, edge: str, tmp_path: Path) -> None:
+    docs = spark.read.parquet(f"{edge}/documents.parquet").withColumn("slot", F.lit("mine"))
+    sharding.write_shards(docs, str(tmp_path / "out"), "text", "doc_id", 5, files=2)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert collections.Counter((r.doc_id, r.text) for r in rows(got)) == collections.Counter((r[0], r[1]) for r in edge_rows())
+    sizes = {r.shard: r.b for r in rows(got.groupBy("shard").agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 16).alias("b")))}
+    assert set(sizes) <= set(range(5))
+
+
+def test_columns_that_the_results_have_too(spark: SparkSession, edge: str) -> None:
+    docs = spark.read.parquet(f"{edge}/documents.parquet").withColumns({c: F.lit("x") for c in ("slot", "text_crc32", "target", "source_size")})
+    shards = sharding.histogram_shards(docs, "text", "doc_id", 3)
+    assert len(set(shards.columns)) == len(shards.columns) and dict(shards.dtypes)["slot"] == "bigint" and shards.count() == len(edge_rows())
+    mixed = mixing.systematic_mix(docs.withColumn("words", F.length("text").cast("bigint")).fillna(0, "words"), "words", "source", "doc_id")
+    assert len(set(mixed.columns)) == len(mixed.columns) and dict(mixed.dtypes)["target"] == "double" and mixed.count() == len(edge_rows())
+
+
 # 5: near copies
 
 
@@ -781,6 +799,17 @@ def test_fingerprints(spark: SparkSession, edge: str, sf: str) -> None:
         assert collections.Counter(map(tuple, rows(fingerprints.op9_simhash_fingerprints(spark, folder)))) == want
 
 
+def test_ranges_of_ranges(spark: SparkSession, sf: str, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Ranges cut twice give the same rows; each holds few."""
+    want = collections.Counter(map(tuple, rows(fingerprints.op9_simhash_fingerprints(spark, sf))))
+    monkeypatch.setattr(fingerprints, "ROWS", 2)
+    monkeypatch.setattr(fingerprints, "WIDTH", 9)
+    docs = common.documents(spark, sf)
+    sizes = [r["count"] for r in rows(fingerprints.with_ranges(docs, "doc_id").groupBy("__range").count())]
+    assert len(sizes) > 40 and max(sizes) < 12 and sum(sizes) == docs.count()
+    assert collections.Counter(map(tuple, rows(fingerprints.op9_simhash_fingerprints(spark, sf)))) == want
+
+
 def test_near_fingerprints_finds_all(spark: SparkSession) -> None:
     rng = random.Random(9)
     seeds = [rng.getrandbits(64) for _ in range(40)]
