@@ -44,6 +44,7 @@ from .words import U64, grouped, mixed, text_words
 
 WIDE = 512
 NEAR, LATER = 1, 8
+BITS = 1 << 23
 #: What tells the places in a shingle, the lanes of a fingerprint and the min-hashes apart.
 ODD = mixed(np.arange(1, 129, dtype=U64)) | U64(1)
 
@@ -316,18 +317,31 @@ def near_components(prints: DataFrame, keys: Column, radius: int, finer: Column
 def alike_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """A written table of the pairs (a, b) whose shingle sets have the Jaccard similarity, compared by 32 bits
     of each hash; ``nodes(node, digest, row)`` names a document of ``docs(row, text)`` for each node."""
+    spark = docs.sparkSession
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     asked = written(nodes.join(ends, "node", "left_semi").select("node", "digest", "row"), "asked")
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in grouped(batches, "text", 200_000):
-            of, h = shingle_sets(b.column("text"), width)
-            cuts = np.searchsorted(of, np.arange(len(b) + 1))
-            sets = [np.unique(h[i:j].astype(np.uint32)).tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("digest"), pa.array(set_digests(of, h, len(b)), pa.binary()), pa.array(sets, pa.binary())], names=["node", "digest", "own", "shingles"])
+    # texts that no pair asks for stay where they are: a bitmap of BITS bits, whatever the data's size, lets
+    # few others pass, and the join after it decides
+    at = F.pmod("row", F.lit(BITS))
+    found = asked.groupBy((at / 32768).cast("int").alias("i")).agg(F.bitmap_construct_agg((at % 32768).cast("bigint")).alias("bits")).collect()
+    bitmap = np.zeros(BITS // 8, np.uint8)
+    for r in found:
+        bitmap[r["i"] * 4096 : (r["i"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(bitmap)
 
-    texts = docs.select("row", F.col("text").cast("binary").alias("text")).join(asked, "row").select("node", "digest", "text")
-    sets = texts.mapInArrow(make, "node bigint, digest binary, own binary, shingles binary").where("digest = own")
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            place = whole.column("row").to_numpy() % BITS
+            part = whole.filter(pa.array(shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0))
+            for b in grouped([part], "text", 200_000):
+                of, h = shingle_sets(b.column("text"), width)
+                cuts = np.searchsorted(of, np.arange(len(b) + 1))
+                sets = [np.unique(h[i:j].astype(np.uint32)).tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(set_digests(of, h, len(b)), pa.binary()), pa.array(sets, pa.binary())], names=["row", "digest", "shingles"])
+
+    texts = docs.select("row", F.col("text").cast("binary").alias("text"))
+    sets = texts.mapInArrow(make, "row bigint, digest binary, shingles binary").join(asked, ["row", "digest"])
     sets = written(sets.groupBy("node").agg(F.max("shingles").alias("shingles")), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, scratch, written
+from .common import documents, done_with, held_out, scratch, written
 from .shared_files import load, qualified, save
 from .words import IN_TERM, U64, grouped, text_words
 
@@ -294,7 +294,11 @@ def example_terms(docs: DataFrame, labels: DataFrame, examples: int, postings: i
     table = written(found.mapInArrow(pack, "key bigint, doc_id bigint, toxic int, hashes binary, counts binary, n bigint"), "examples")
     sizes = sorted(map(tuple, table.select("key", "n").collect()))  # bounded by ``examples``
     fit = int(np.searchsorted(np.cumsum([n for _, n in sizes]), postings, side="right"))
-    return table if fit == len(sizes) else table.where(F.col("key") < sizes[fit][0])
+    if fit == len(sizes):
+        return table
+    part = table.where(F.col("key") < sizes[fit][0])
+    part.scratch_path = table.scratch_path
+    return part
 
 
 def fit(docs: DataFrame, labels: DataFrame, k: int = 32, prior: float = 0.5, block: int = 512, examples: int = 20_000, postings: int = 6_000_000, mod: int = 5) -> Judge | None:
@@ -316,6 +320,7 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 32, prior: float = 0.5, blo
         yield pa.RecordBatch.from_arrays([pa.array([len(names)], pa.int64())], names=["n"])
 
     table.repartition(1).sortWithinPartitions("doc_id", "toxic", "hashes", "counts").mapInArrow(build, "n bigint").collect()
+    done_with(table)
     judge = Judge(path, block, k, prior, toxic / n)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
