@@ -40,8 +40,11 @@ def murmur64a_pairs(first: np.ndarray, second: np.ndarray, seed: int) -> np.ndar
 
 @F.pandas_udf(StringType())
 def _etag(size: pd.Series, mtime: pd.Series) -> pd.Series:
-    h = murmur64a_pairs(size.to_numpy("int64"), mtime.to_numpy("int64"), ETAG_SEED)
-    return pd.Series([f"{x:016x}" for x in h.tolist()])
+    known = (size.notna() & mtime.notna()).to_numpy()
+    h = murmur64a_pairs(size[known].to_numpy("int64"), mtime[known].to_numpy("int64"), ETAG_SEED)
+    out = np.full(len(size), None, object)
+    out[known] = [f"{x:016x}" for x in h.tolist()]
+    return pd.Series(out)
 
 
 @F.pandas_udf(StringType())
@@ -50,7 +53,7 @@ def _agent_id(address: pd.Series) -> pd.Series:
 
 
 def etag(size: Column, mtime: Column) -> Column:
-    """16 lower-case hex digits; changes with size or modification time."""
+    """16 lower-case hex digits; changes with size or modification time; null where either is."""
     return _etag(size, mtime)
 
 

@@ -11,10 +11,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cache, reduce
 
+import pandas as pd
+import regex as regex_module
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 BLANKS = " \t\r\n"
 SPACE = " \t\r\n\v\f"
@@ -223,19 +226,36 @@ def node_matches(node: Node | None, line: Column) -> Column:
     return empty
 
 
+HITS = ArrayType(StructType([StructField("word", StringType()), StructField("pos", IntegerType())]))
+
+
+@F.pandas_udf(HITS)
+def _group_hits(line: pd.Series, pattern: pd.Series) -> pd.Series:
+    compiled = compiled_groups(pattern.iloc[0]) if len(pattern) else None
+
+    def one(text: str | None) -> list[dict] | None:
+        m = None if text is None else compiled.search(text)
+        return None if m is None else [{"word": m[g] or "", "pos": m.start(g)} for g in range(compiled.groups + 1)]
+
+    return line.map(one)
+
+
+@cache
+def compiled_groups(pattern: str) -> regex_module.Pattern:
+    return regex_module.compile(pattern, regex_module.DOTALL | regex_module.MULTILINE)
+
+
 def match_positions(kind: str, query: str, line: Column) -> Column:
-    """array<struct<word, pos>> of what matched, positions in characters from 0; for a regular
-    expression the whole match and then each group's text at its first place in the match."""
+    """array<struct<word, pos>> of what matched, positions in characters from 0; for a regular expression
+    the whole match and then each group where it matched, one that took no part as empty at -1. SQL has no
+    function for the place of a group, so where there are groups, the lines that match go to Python."""
     if kind == "simple":
         return node_matches(Word(query), line)
     if kind == "boolean":
         return node_matches(parse_boolean(query), line)
     pattern = java_regex(query)
-    groups = re.compile(query).groups
-    at = F.regexp_instr(line, F.lit(pattern)) - 1
-    whole = F.regexp_extract(line, pattern, 0)
-    hits = [F.struct(whole.alias("word"), at.alias("pos"))]
-    for g in range(1, groups + 1):
-        text = F.regexp_extract(line, pattern, g)
-        hits.append(F.struct(text.alias("word"), (at + F.greatest(F.position(text, whole), F.lit(1)) - 1).alias("pos")))
-    return F.when(line.rlike(pattern), F.array(*hits).cast(NONE)).otherwise(F.array().cast(NONE))
+    hit = line.rlike(pattern)
+    whole = F.array(F.struct(F.regexp_extract(line, pattern, 0).alias("word"), (F.regexp_instr(line, F.lit(pattern)) - 1).alias("pos"))).cast(NONE)
+    if compiled_groups(query).groups:
+        whole = F.coalesce(_group_hits(F.when(hit, line), F.lit(query)), whole)
+    return F.when(hit, whole).otherwise(F.array().cast(NONE))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -116,9 +117,47 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def write_cache(catalog: DataFrame, path: str) -> None:
-    """Spark's commit protocol shows readers the old table or the new one."""
-    catalog.write.mode("overwrite").parquet(path)
+CURRENT = "_CURRENT"
+
+
+def load_cache(spark: SparkSession, path: str) -> DataFrame | None:
+    """The catalog that write_cache() wrote last; None where there is none."""
+    fs, home = file_system(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(home)] if fs.exists(home) else []
+    done = sorted(n for n in names if n.startswith(CURRENT))
+    return spark.read.parquet(f"{path}/{done[-1].removeprefix(CURRENT + '-')}") if done else None
+
+
+def write_cache(catalog: DataFrame, path: str, keep: int = 2) -> bool:
+    """Writes the catalog into a folder of its own below ``path`` and then names it by a marker file, which
+    the store makes as a whole: readers see the old table or the new one. Older tables but ``keep`` go, so a
+    reader that began before can finish. A catalog like the last one is not written; false then."""
+    spark = catalog.sparkSession
+    old = load_cache(spark, path)
+    if old is not None and same_rows(old, catalog):
+        return False
+    name = f"{time.time_ns():020d}"
+    catalog.write.parquet(f"{path}/{name}")
+    fs, home = file_system(spark, path)
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs.create(path_of(f"{path}/{CURRENT}-{name}")).close()
+    tables = sorted(f.getPath().getName() for f in fs.listStatus(home) if f.isDirectory())
+    for gone in tables[:-keep]:
+        fs.delete(path_of(f"{path}/{CURRENT}-{gone}"), False)
+        fs.delete(path_of(f"{path}/{gone}"), True)
+    return True
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    def told(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)"))).first())
+
+    return sorted(a.columns) == sorted(b.columns) and told(a) == told(b)
 
 
 def list_prefix(files: DataFrame, prefix: str, roots: list[Root]) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import compile_query, conjunction
 from ..operators import catalog, limits, registry, timeindex
 from ..operators.records import FILE, assemble
+from ..sources.rawlog import RawLog
 
 MAX_RESULTS = 500
 
@@ -61,29 +66,75 @@ def matching_records(records: DataFrame, request: SearchRequest) -> DataFrame:
     return limits.limit_per_file(hit.where(conjunction(request.queries, F.col("line"))), request.max_results)
 
 
-class LogSearch:
-    """Federated search over lines of many agents; ``entries`` (a time index) only prunes files, by
-    the least and greatest time that timeindex.with_times() adds; without these it prunes nothing."""
+def raw_records(spark: SparkSession, path: str, request: SearchRequest, agent: str = "", index: str | None = None, **options: str) -> DataFrame:
+    """(agent, path, rid, time, line) of raw files, assembled where they are read: no line is shuffled, the
+    time range and the words of simple queries are tested in the reader, and an ``index`` file (see rawlog)
+    leaves the byte ranges unread that hold no time of the range. rid is the record's offset."""
+    spark.dataSource.register(RawLog)
+    reader = spark.read.format("rawlog").options(agent=agent, **options)
+    found = (reader.option("index", index) if index else reader).load(path)
+    found = found.where((F.col("time") >= request.start_time) & (F.col("time") <= request.end_time))
+    for query, kind in request.queries:
+        if kind == "simple":
+            found = found.where(F.col("line").contains(query))
+    return found.withColumnRenamed("offset", "rid")
+
+
+def logged(found: DataFrame) -> DataFrame:
+    """The same rows; the executors' logger ``logweft.hits`` gets each at debug level."""
 
-    def __init__(self, lines: DataFrame, files: DataFrame | None = None, agents: DataFrame | None = None, entries: DataFrame | None = None) -> None:
-        self.lines, self.files, self.agents, self.entries = lines, files, agents, entries
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logger = logging.getLogger("logweft.hits")
+        for b in batches:
+            if logger.isEnabledFor(logging.DEBUG):
+                for r in b.to_pylist():
+                    logger.debug("%s %s %s: %s", r["agent"], r["path"], r["time"], r["line"])
+            yield b
 
-    def search(self, request: SearchRequest, now: int | None = None) -> DataFrame:
+    return found.mapInArrow(run, found.schema)
+
+
+class LogSearch:
+    """Federated search over lines of many agents; ``entries`` (a time index) only prunes files, by
+    the least and greatest time that timeindex.with_times() adds; without these it prunes nothing.
+
+    ``raw`` maps agents to (path, index or None) of raw files that raw_records() reads beside the lines.
+    ``observation`` gets the number of records that matched (matched_records) and of files they are in
+    (matched_files) once the result has been used; with ``log`` every hit is logged at debug level."""
+
+    def __init__(self, lines: DataFrame | None, files: DataFrame | None = None, agents: DataFrame | None = None, entries: DataFrame | None = None, raw: dict[str, tuple[str, str | None]] | None = None, spark: SparkSession | None = None) -> None:
+        self.lines, self.files, self.agents, self.entries, self.raw = lines, files, agents, entries, raw or {}
+        self.spark = spark or (lines.sparkSession if lines is not None else SparkSession.getActiveSession())
+
+    def records(self, request: SearchRequest) -> DataFrame:
+        """All records that the request may concern, from lines and raw files."""
+        parts = [raw_records(self.spark, path, request, agent, index) for agent, (path, index) in self.raw.items()]
+        if self.lines is not None:
+            lines = self.lines
+            if request.prefix:
+                lines = lines.where(F.startswith("path", F.lit(request.prefix)))
+            if request.paths is not None:
+                lines = lines.where(F.col("path").isin(list(request.paths)))
+            if self.entries is not None and {"least", "most"} <= set(self.entries.columns):
+                kept = timeindex.overlapping_files(timeindex.time_bounds(self.entries), request.start_time, request.end_time)
+                lines = lines.join(kept.select(*FILE), FILE, "left_semi")
+            parts.append(assemble(lines).select(*FILE, "rid", "time", "line"))
+        return reduce(DataFrame.unionByName, [p.select(*FILE, "rid", "time", "line") for p in parts])
+
+    def search(self, request: SearchRequest, now: int | None = None, observation: Observation | None = None, log: bool = False) -> DataFrame:
         """(agent, path, status, error_msg, start_time, end_time, n_lines, lines), in response order; files
         without hits have no row."""
         request.check()
-        lines = self.lines
-        if request.prefix:
-            lines = lines.where(F.startswith("path", F.lit(request.prefix)))
-        if request.paths is not None:
-            lines = lines.where(F.col("path").isin(list(request.paths)))
+        records = self.records(request)
         if self.agents is not None and now is not None:
-            lines = lines.join(registry.active(self.agents, now).select(F.col("agent_id").alias("agent")), "agent", "left_semi")
-        if self.entries is not None and {"least", "most"} <= set(self.entries.columns):
-            kept = timeindex.overlapping_files(timeindex.time_bounds(self.entries), request.start_time, request.end_time)
-            lines = lines.join(kept.select(*FILE), FILE, "left_semi")
-        found = matching_records(assemble(lines), request)
-        return limits.response_order(limits.group_by_file(found))
+            records = records.join(registry.active(self.agents, now).select(F.col("agent_id").alias("agent")), "agent", "left_semi")
+        found = matching_records(records, request)
+        if log:
+            found = logged(found)
+        out = limits.response_order(limits.group_by_file(found))
+        if observation is not None:  # above the sort, which may run what is below it twice
+            out = out.observe(observation, F.coalesce(F.sum("n_lines"), F.lit(0)).alias("matched_records"), F.count(F.lit(1)).alias("matched_files"))
+        return out
 
     def list(self, prefix: str, roots: list[catalog.Root]) -> DataFrame:
         """(path, size, mtime, etag, start_time, end_time) below a prefix; no times without an index."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from threading import Event
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,3 +36,21 @@ def refresh_catalog(spark: SparkSession, roots: list[catalog.Root], old: DataFra
     fresh = reindex(catalog.to_reindex(merged)).withColumnRenamed("file_index", "__new")
     joined = merged.join(fresh, "fullpath", "left")
     return joined.withColumn("file_index", F.coalesce("__new", "file_index")).drop("__new")
+
+
+def maintain(spark: SparkSession, roots: list[catalog.Root], cache: str, reindex: Callable[[DataFrame], DataFrame], every_seconds: float = SCAN_SECONDS, turns: int | None = None, stop: Event | None = None) -> int:
+    """The maintenance loop: loads the cached catalog, if there is one, with what is still configured and
+    there; then, every ``every_seconds``, a turn of refresh_catalog() whose result becomes the cache. Ends
+    after ``turns``, or when ``stop`` is set; gives the number of turns that wrote."""
+    known = spark.createDataFrame([(r.path,) for r in roots], "path string")
+    stop, wrote, done = stop or Event(), 0, 0
+    while not stop.is_set():
+        old = catalog.load_cache(spark, cache)
+        if old is not None and not done:
+            old = catalog.reload_cache(old, catalog.scan_roots(spark, roots), known)
+        wrote += catalog.write_cache(refresh_catalog(spark, roots, old, reindex), cache)
+        done += 1
+        if done == turns:
+            break
+        stop.wait(every_seconds)
+    return wrote

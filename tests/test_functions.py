@@ -107,6 +107,9 @@ def test_match_positions(spark: SparkSession) -> None:
     assert get("boolean", "error AND (nope OR click) NOT zzz") == [("error", 2), ("click", 13)]
     assert get("boolean", "error AND nope") == []
     assert get("regex", r"a=(\d)(\d)") == [("a=12", 8), ("1", 10), ("2", 11)]
+    df = spark.createDataFrame([("x a=11 y",)], "line string")
+    assert get("regex", r"a=(\d)(\d)") == [("a=11", 2), ("1", 4), ("1", 5)] and get("regex", r"a=(z)?1") == [("a=1", 2), ("", -1)]
+    assert get("regex", "a=.") == [("a=1", 2)] and get("regex", "(b)") == []
 
 
 def test_registering_a_searcher(spark: SparkSession) -> None:
@@ -122,6 +125,8 @@ def test_hash_vectors(spark: SparkSession) -> None:
     cases = [(0, 0, "98da369c7313a826"), (1, 1, "9b5346cd3b6e5259"), (1048576, 1700000000, "a07d11abfbce07e9"), (104857600, 1761490100, "ba233c3bcb2dd63b")]
     df = spark.createDataFrame(cases, "size bigint, mtime bigint, want string")
     assert df.where(hashing.etag(F.col("size"), F.col("mtime")) != F.col("want")).count() == 0
+    df = spark.createDataFrame([(1, 1), (None, 1), (1, None)], "size bigint, mtime bigint")
+    assert [r.e for r in df.select(hashing.etag(F.col("size"), F.col("mtime")).alias("e")).collect()] == ["9b5346cd3b6e5259", None, None]
     ids = {"127.0.0.1:8113": "2844607971204861183", "10.0.0.1:8113": "74110691827657299", "": "0"}
     df = spark.createDataFrame(list(ids.items()), "address string, want string")
     assert df.where(hashing.agent_id(F.col("address")) != F.col("want")).count() == 0

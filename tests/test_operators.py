@@ -8,7 +8,7 @@ import time
 from pathlib import Path
 
 import pytest
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from logweft.operators import catalog, limits, records, registry, timeindex
@@ -213,8 +213,13 @@ def test_catalog_life(spark: SparkSession, tmp_path: Path) -> None:
     state = {r.name: (r.size, r.file_index is not None) for r in merged.collect()}
     assert state == {"a.log": (2, True), "e.log": (1, False)}
     assert {r.name for r in catalog.to_reindex(merged).collect()} == {"a.log", "e.log"}
-    catalog.write_cache(merged, str(tmp_path / "cache"))
-    back = spark.read.parquet(str(tmp_path / "cache"))
+    cache = str(tmp_path / "cache")
+    assert catalog.load_cache(spark, cache) is None and catalog.write_cache(old, cache) and not catalog.write_cache(old, cache)
+    reader = catalog.load_cache(spark, cache)  # begun before the next write, and whole after it
+    assert catalog.write_cache(merged, cache) and reader.count() == 2
+    back = catalog.load_cache(spark, cache)
+    assert catalog.same_rows(back, merged) and catalog.write_cache(merged.limit(1), cache)
+    assert len([f for f in (tmp_path / "cache").iterdir() if f.is_dir()]) == 2
     roots = spark.createDataFrame([(str(logs),)], "path string")
     assert {r.name for r in catalog.reload_cache(back, scan.where("name = 'a.log'"), roots).collect()} == {"a.log"}
     assert {r.name for r in catalog.list_prefix(merged, f"{logs}/a", [root]).collect()} == {"a.log"}
@@ -241,3 +246,30 @@ def test_config(tmp_path: Path) -> None:
     (tmp_path / "c.json").write_text(json.dumps({"paths": [{"path": "/p", "prefixpattern": "/p/.+", "maxdays": 30}]}))
     assert catalog.roots_of(catalog.load_config(str(tmp_path / "c.json"))) == [catalog.Root("/p", "/p/.+", "", ".*", 30)]
     assert catalog.load_config(str(tmp_path / "none.json")) == {}
+
+
+def test_search_reads_raw_files(spark: SparkSession, tmp_path: Path) -> None:
+    """Raw files give the records that their lines give, unordered ones too, and an index spares bytes."""
+    rng = random.Random(21)
+    logs = {str(tmp_path / f"f{i}.log"): random_log(rng, 80, i % 2 == 0) for i in range(8)}
+    for path, lines in logs.items():
+        Path(path).write_bytes("\n".join(lines).encode())
+    df = spark.createDataFrame(as_rows(logs), RAW).withColumn("agent", F.lit("h"))
+    stamped = timeindex.stamped_offsets(df)
+    index = tmp_path.parent / "raw-index.jsonl"
+    index.write_text("\n".join(json.dumps(r.asDict()) for r in timeindex.with_times(timeindex.build_index(stamped), stamped).collect()))
+    times = sorted(r.time for r in stamped.select("time").collect())
+    told = lambda found: [(r.agent, r.path, r.start_time, r.end_time, [tuple(x) for x in r.lines]) for r in found.collect()]
+    for low, high in ((times[0], times[-1]), (times[len(times) // 3], times[len(times) // 2]), (times[5], times[5])):
+        for queries in ((("e", "simple"),), (("error OR warning OR info", "boolean"), ("[a-z]", "regex"))):
+            request = SearchRequest(queries, low, high, prefix=str(tmp_path), max_results=7)
+            want = told(LogSearch(df).search(request))
+            for name in (None, str(index)):
+                observed = Observation()
+                got = told(LogSearch(None, raw={"h": (str(tmp_path), name)}, spark=spark).search(request, observation=observed, log=True))
+                assert got == want
+                if got:
+                    assert observed.get == {"matched_records": sum(len(r[4]) for r in got), "matched_files": len(got)}
+    reader = RawLog({"path": str(tmp_path), "index": str(index)}).reader(None)
+    reader.wanted.low = reader.wanted.high = times[len(times) // 2]
+    assert sum(p.end - p.start for p in reader.partitions()) < sum(Path(p).stat().st_size for p in logs)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from logweft.operators import catalog
 from logweft.streaming.heartbeat import heartbeat_stream, sessions
-from logweft.streaming.tail import follow, refresh_catalog, tail
+from logweft.streaming.tail import follow, maintain, refresh_catalog, tail
 
 
 def test_tail_appends_partial_lines_and_rotation(spark: SparkSession, tmp_path: Path) -> None:
@@ -68,3 +68,10 @@ def test_refresh(spark: SparkSession, tmp_path: Path) -> None:
     old = spark.read.parquet(str(tmp_path.parent / f"{tmp_path.name}-cat"))
     refresh_catalog(spark, [root], old, reindex).collect()
     assert asked == [1, 0]
+    cache = str(tmp_path.parent / f"{tmp_path.name}-cache")
+    assert maintain(spark, [root], cache, reindex, every_seconds=0, turns=3) == 1  # nothing new after the first turn
+    (tmp_path / "y.log").write_text("b")
+    assert maintain(spark, [root], cache, reindex, every_seconds=0, turns=1) == 1
+    assert {r.name for r in catalog.load_cache(spark, cache).collect()} == {"x.log", "y.log"}
+    assert maintain(spark, [catalog.Root(str(tmp_path / "other"))], cache, reindex, every_seconds=0, turns=1) == 1
+    assert catalog.load_cache(spark, cache).count() == 0  # a root that is no longer configured
