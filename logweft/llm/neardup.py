@@ -16,9 +16,12 @@ near copies costs its size times the tree's, not its square, and no link between
 Searches emit a spanning forest of what they find, not all pairs; components() joins the forests.
 
 near_copies is for looser likeness, by the shingle sets' Jaccard similarity. Texts with equal sets are one
-node, fingerprints have 512 bits, shards are bands of min-hashes, and every candidate that a search emits
-is compared exactly, shingle set with shingle set, before it links anything. At that radius the edges of a
-BK-tree prune little; what bounds the work is the shard.
+node, fingerprints have 512 bits, shards are bands of min-hashes, and every candidate is compared exactly,
+shingle set with shingle set, before it links anything. A first turn checks each node's nearest candidate,
+which joins most of what belongs together. A second finds the rows with candidates in components that are
+still apart; their sets move to their shards, where all such pairs are compared, as long as they are apart,
+and only links come out. So no link among candidates is lost, and no list of pairs is written. At that
+radius the edges of a BK-tree prune little; what bounds the work is the shard.
 
 Edges: a null text is empty, an empty text has fingerprint zero and is linked like any other (near_copies:
 all texts without words are copies of each other and of nothing else); rows equal in id or text fall into
@@ -43,7 +46,10 @@ from .common import components, documents, done_with, written
 from .words import U64, grouped, mixed, text_words
 
 WIDE = 512
-NEAR, LATER = 1, 8
+NEAR = 1
+ROW = ["shard", "key", "tree", "node", "fp", "size", "root", "keys", "stored", "compared"]
+#: Words of a tree's sets, on average, at most: sets go into memory in the second turn.
+WEIGHT = 1 << 22
 BITS = 1 << 23
 #: What tells the places in a shingle, the lanes of a fingerprint and the min-hashes apart.
 ODD = mixed(np.arange(1, 129, dtype=U64)) | U64(1)
@@ -178,45 +184,101 @@ class BKTree:
 class Searcher:
     """The searches of a task, shard by shard: rows of a shard come together, those to be stored first.
 
-    A row that is compared is linked to its ``near`` nearest neighbours of other components (``root``), and
-    to the nearest in each component that no link of this shard has joined to its own yet. Where rows bring
-    all their keys, a pair that shares an earlier one belongs to that key's shard and is not emitted here."""
+    ``root`` is a node's component so far; rows of one component are not held against each other. Where rows
+    bring all their keys, a pair that shares an earlier one belongs to that key's shard."""
 
     def __init__(self, radius: int, near: int, alike: float) -> None:
         self.radius, self.near, self.alike = radius, near, alike
         self.shard: int | None = None
 
+    def enter(self, shard: int) -> None:
+        if shard != self.shard:
+            self.shard, self.tree, self.known, self.parent = shard, BKTree(), {}, {}
+
+    def store(self, node: int, value: int, size: int, root: int, before: list[int], more: object = None) -> None:
+        self.known[node] = size, root, before, more
+        self.tree.add(value, node)
+
     def top(self, x: int) -> int:
         parent = self.parent
         while (p := parent.get(x, x)) != x:
             parent[x] = x = parent.get(p, p)
         return x
 
+    def around(self, value: int, size: int, root: int) -> list[int]:
+        """Stored nodes of other components within the radius, nearest first."""
+        known, alike = self.known, self.alike
+        found = sorted((d, other) for d, other in self.tree.within(value, self.radius) if known[other][1] != root)
+        # sets whose sizes differ by more cannot be alike enough
+        return [o for _, o in found if not alike or min(size, known[o][0]) >= alike * max(size, known[o][0])]
+
+    def elsewhere(self, before: list[int], other: int) -> bool:
+        return bool(before) and any(map(eq, before, self.known[other][2]))
+
     def links(self, shard: int, key: int, node: int, value: int, size: int, root: int, keys: list[int] | None, stored: bool, compared: bool) -> Iterator[tuple[int, int]]:
-        if shard != self.shard:
-            self.shard, self.tree, self.known, self.parent = shard, BKTree(), {}, {}
+        """A row that is compared is linked to its ``near`` nearest neighbours, and to the nearest in each
+        component that no link of this shard has joined to its own yet."""
+        self.enter(shard)
         before = keys[: keys.index(key)] if keys else []
         if compared:
-            known, alike = self.known, self.alike
-            found = sorted((d, other) for d, other in self.tree.within(value, self.radius) if known[other][1] != root)
-            if alike:  # sets whose sizes differ by more cannot be alike enough
-                found = [(d, o) for d, o in found if min(size, known[o][0]) >= alike * max(size, known[o][0])]
-            if before:
-                own = []
-                for x in found:
-                    if any(map(eq, before, known[x[1]][2])):
-                        self.parent[self.top(root)] = self.top(known[x[1]][1])
-                    else:
-                        own.append(x)
-                found = own
-            for i, (_, other) in enumerate(found):
-                a, b = self.top(root), self.top(known[other][1])
+            own = []
+            for other in self.around(value, size, root):
+                if self.elsewhere(before, other):
+                    self.parent[self.top(root)] = self.top(self.known[other][1])
+                else:
+                    own.append(other)
+            for i, other in enumerate(own):
+                a, b = self.top(root), self.top(self.known[other][1])
                 if a != b or i < self.near:
                     self.parent[a] = b
                     yield node, other
         if stored:
-            self.known[node] = size, root, before
-            self.tree.add(value, node)
+            self.store(node, value, size, root, before)
+
+    def apart(self, row: tuple) -> Iterator[tuple]:
+        """``row`` as it came if it is compared and has neighbours in other components, and these, each once."""
+        shard, key, _, node, fp, size, root, keys, stored, _ = row
+        self.enter(shard)
+        value, before = int.from_bytes(fp), keys[: keys.index(key)]
+        if stored:
+            self.store(node, value, size, root, before, row)
+            return
+        own = [o for o in self.around(value, size, root) if not self.elsewhere(before, o)]
+        if own:
+            yield row
+        for o in own:
+            if (seen := self.known[o])[3]:
+                self.known[o] = *seen[:3], None
+                yield seen[3]
+
+    def alike_links(self, row: tuple, shingles: np.ndarray, chunk: int = 32) -> Iterator[tuple[int, int]]:
+        """Links of a compared row: all its neighbours in components that are still apart are compared by
+        their sets, nearest first."""
+        shard, key, _, node, fp, size, root, keys, stored, _ = row
+        self.enter(shard)
+        value, before = int.from_bytes(fp), keys[: keys.index(key)]
+        if stored:
+            self.store(node, value, size, root, before, shingles)
+            return
+        own = [o for o in self.around(value, size, root) if not self.elsewhere(before, o)]
+        for i in range(0, len(own), chunk):
+            part = [o for o in own[i : i + chunk] if self.top(self.known[o][1]) != self.top(root)]
+            if part:
+                for o, good in zip(part, alike_sets(shingles, [self.known[o][3] for o in part], self.alike), strict=True):
+                    a, b = self.top(root), self.top(self.known[o][1])
+                    if good and a != b:
+                        self.parent[a] = b
+                        yield node, o
+
+
+def alike_sets(one: np.ndarray, others: list[np.ndarray], similarity: float) -> list[bool]:
+    """Whether the Jaccard similarity of ``one`` and each of the others reaches ``similarity``: sorted arrays
+    without repeats, none empty."""
+    n = np.fromiter(map(len, others), np.int64, len(others))
+    joined = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, joined), len(one) - 1)
+    both = np.add.reduceat(one[at] == joined, np.cumsum(n) - n, dtype=np.int64)
+    return (both >= similarity * (len(one) + n - both)).tolist()
 
 
 def block_keys(bits: int, radius: int) -> Column:
@@ -242,65 +304,117 @@ def placed(nodes: DataFrame, keys: Column, finer: Column | None, tree: int) -> D
     least, that cut shards above ``tree``; None where there are no such keys: then rows bring all their keys."""
     every = F.lit(None).cast("array<bigint>") if finer is not None else keys
     spread = nodes.select("node", "fp", "size", every.alias("keys"), *([] if finer is None else [finer.alias("finer")]), F.explode(keys).alias("key"))
-    shared = written(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    at = ["key", "node", "fp", "size", "keys", "n", F.ceil(F.col("n") / tree).cast("int").alias("trees")]
+    count = F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight")
+    shared = written(spread.groupBy("key").agg(*count).where("n > 1"), "shared")
+    trees = F.greatest(F.ceil(F.col("n") / tree), F.ceil(F.col("weight") / WEIGHT)).cast("int").alias("trees")
+    at = ["key", "node", "fp", "size", "keys", "n", trees]
     once = spread.join(shared if finer is None else shared.where(F.col("n") <= tree), "key").select(*at)
     large = shared.where(F.col("n") > tree)
     if finer is not None and large.limit(1).count():
         cut = spread.join(large, "key").select("node", "fp", "size", "keys", "key", F.explode("finer").alias("f"))
         cut = cut.where("f <> key").select("node", "fp", "size", "keys", F.xxhash64("key", "f").alias("key"))
-        sizes = written(cut.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "finer")
+        sizes = written(cut.groupBy("key").agg(*count).where("n > 1"), "finer")
         once = once.union(cut.join(sizes, "key").select(*at))
     table = written(once.withColumn("home", F.pmod(F.xxhash64("key", "node"), F.col("trees")).cast("int")), "placed")
     done_with(shared)
     return table
 
 
-def searched(stored: DataFrame, asked: DataFrame | None, radius: int, near: int, alike: float) -> DataFrame:
-    """Distinct links (a, b), a above b, of rows (key, tree, node, fp, size, root, keys): those ``asked`` are held
-    against those stored in their tree, or without them each stored row against the others."""
+def dealt(stored: DataFrame, asked: DataFrame | None) -> DataFrame:
+    """The rows (key, tree, node, fp, size, root, keys) of each tree together, those to be stored first;
+    ``asked`` are compared with what their tree stores, or without them each stored row with the others."""
     sent = stored.withColumn("stored", F.lit(True)).withColumn("compared", F.lit(asked is None))
     if asked is not None:
         sent = sent.unionByName(asked.withColumn("stored", F.lit(False)).withColumn("compared", F.lit(True)))
-    sent = sent.select(F.xxhash64("key", "tree").alias("shard"), "key", "node", "fp", "size", "root", "keys", "stored", "compared")
+    return by_shard(sent.withColumn("shard", F.xxhash64("key", "tree")))
+
+
+def by_shard(rows: DataFrame) -> DataFrame:
+    rows = rows.select(*ROW, *[c for c in rows.columns if c not in ROW])
+    return rows.repartition("shard").sortWithinPartitions("shard", F.desc("stored"))
+
+
+def pairs_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([max(x) for x in found], pa.int64()), pa.array([min(x) for x in found], pa.int64())], names=["a", "b"])
+
+
+def columns_of(b: pa.RecordBatch, names: list[str]) -> Iterator[tuple]:
+    return zip(*(b.column(c).to_pylist() for c in names), strict=True)
+
+
+def searched(rows: DataFrame, radius: int, near: int, alike: float) -> DataFrame:
+    """Distinct links (a, b), a above b, of dealt rows."""
+    names = [c for c in ROW if c != "tree"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = Searcher(radius, near, alike)
         for b in batches:
-            found = [x for s, k, n, f, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in at.links(s, k, n, int.from_bytes(f), *rest)]
-            yield pa.RecordBatch.from_arrays([pa.array([max(x) for x in found], pa.int64()), pa.array([min(x) for x in found], pa.int64())], names=["a", "b"])
+            yield pairs_batch([x for s, k, n, f, *rest in columns_of(b, names) for x in at.links(s, k, n, int.from_bytes(f), *rest)])
+
+    return rows.mapInArrow(search, "a bigint, b bigint").distinct()
+
+
+def still_apart(rows: DataFrame, radius: int, alike: float) -> DataFrame:
+    """Those of the dealt rows that have candidates in other components, or are such."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.bool_()]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = Searcher(radius, 0, alike)
+        for b in batches:
+            found = [x for row in columns_of(b, ROW) for x in at.apart(row)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)], names=ROW)
 
-    dealt = sent.repartition("shard").sortWithinPartitions("shard", F.desc("stored"))
-    return dealt.mapInArrow(search, "a bigint, b bigint").distinct()
+    form = "shard bigint, key bigint, tree int, node bigint, fp binary, size int, root bigint, keys array<bigint>, stored boolean, compared boolean"
+    return rows.mapInArrow(search, form)
 
 
-def linked(nodes: DataFrame, keys: Column, radius: int, finer: Column | None, tree: int = 2048, alike: float = 0.0, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def joined_by_sets(rows: DataFrame, sets: DataFrame, radius: int, alike: float) -> DataFrame:
+    """Distinct links (a, b), a above b, of rows of still_apart, by their ``sets(node, shingles)``."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = Searcher(radius, 0, alike)
+        for b in batches:
+            shingles = b.column("shingles").to_pylist()
+            yield pairs_batch([x for row, s in zip(columns_of(b, ROW), shingles, strict=True) for x in at.alike_links(row, np.frombuffer(s, np.uint32))])
+
+    return by_shard(rows.join(sets, "node")).mapInArrow(search, "a bigint, b bigint").distinct()
+
+
+def linked(nodes: DataFrame, keys: Column, radius: int, finer: Column | None, tree: int = 2048, alike: float = 0.0, sets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, root) of ``nodes(node, fp, size, ..)`` with a link, root the least node reachable. Links join
     what shares a key and is within the radius.
 
-    With ``check``, which maps a written table of candidates to one of those that are links, a node's nearest candidate may fail where
-    a farther one would not: NEAR candidates of each node are checked, and in the second turn, which then
-    takes all shards that hold more, LATER of each node outside its shard's largest component."""
+    With ``sets``, which makes a written table (node, shingles) of a table of nodes, only those are links
+    whose sets have the similarity ``alike``. The first turn checks NEAR candidates of each node, the second
+    every candidate that is in another component by then."""
     table = placed(nodes, keys, finer, tree)
-    row = ["key", "node", "fp", "size", "root", "keys"]
+    row = [c for c in ROW if c not in ("shard", "tree", "stored", "compared")]
     own = table.withColumn("root", F.col("node")).select(*row, F.col("home").alias("tree"))
-    near, later = (NEAR, LATER) if check else (0, 0)
-    tried = written(searched(own, None, radius, near, alike), "candidates")
-    edges = check(tried) if check else tried
+    near = NEAR if sets else 0
+    tried = written(searched(dealt(own, None), radius, near, alike), "candidates")
+    held = sets(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()) if sets else None
+    edges = written(alike_pairs(tried, held, alike), "alike") if sets else tried
     found = components(edges)
-    several = table.where((F.col("trees") > 1) | (F.col("n") > near + 1) if check else F.col("trees") > 1)
+    several = table.where((F.col("trees") > 1) | (F.col("n") > near + 1) if sets else F.col("trees") > 1)
     if several.limit(1).count():
         rooted = written(several.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
         parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
         major = written(parts.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("major")), "major")
         outside = rooted.join(major, "key").where("root <> major")
         asked = outside.select(*row, "home", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"))
-        asked = (asked if check else asked.where("tree <> home")).drop("home")
-        more = searched(rooted.select(*row, F.col("home").alias("tree")), asked, radius, later, alike)
-        more = written(more.join(tried, ["a", "b"], "left_anti"), "more")
-        found = components(edges.union(check(more) if check else more))
+        asked = (asked if sets else asked.where("tree <> home")).drop("home")
+        if sets:  # shards of one component have nothing to ask
+            rooted_apart = rooted.join(outside.select("key").distinct(), "key", "left_semi")
+            rows = written(still_apart(dealt(rooted_apart.select(*row, F.col("home").alias("tree")), asked), radius, alike), "apart")
+            lacking = written(rows.select("node").distinct().join(held, "node", "left_anti"), "lacking")
+            others = sets(lacking)
+            more = written(joined_by_sets(rows, held.union(others), radius, alike), "more")
+            done_with(rows, lacking, others)
+        else:
+            more = written(searched(dealt(rooted.select(*row, F.col("home").alias("tree")), asked), radius, 0, alike), "more")
+        found = components(edges.union(more))
         done_with(rooted, major, more)
-    done_with(table, tried, *([edges] if check else []))
+    done_with(table, tried, *([edges, held] if sets else []))
     return found
 
 
@@ -314,12 +428,11 @@ def near_components(prints: DataFrame, keys: Column, radius: int, finer: Column
     return prints.select("doc_id", "fp").join(written(rooted.join(ids, "root").select("fp", "component_id"), "components"), "fp")
 
 
-def alike_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """A written table of the pairs (a, b) whose shingle sets have the Jaccard similarity, compared by 32 bits
-    of each hash; ``nodes(node, digest, row)`` names a document of ``docs(row, text)`` for each node."""
+def node_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """A written table (node, shingles) of the ``wanted(node)``: 32 bits of each hash, sorted;
+    ``nodes(node, digest, row)`` names a document of ``docs(row, text)`` for each node."""
     spark = docs.sparkSession
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = written(nodes.join(ends, "node", "left_semi").select("node", "digest", "row"), "asked")
+    asked = written(nodes.join(wanted, "node", "left_semi").select("node", "digest", "row"), "asked")
 
     # texts that no pair asks for stay where they are: a bitmap of BITS bits, whatever the data's size, lets
     # few others pass, and the join after it decides
@@ -343,20 +456,21 @@ def alike_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int,
     texts = docs.select("row", F.col("text").cast("binary").alias("text"))
     sets = texts.mapInArrow(make, "row bigint, digest binary, shingles binary").join(asked, ["row", "digest"])
     sets = written(sets.groupBy("node").agg(F.max("shingles").alias("shingles")), "sets")
+    done_with(asked)
+    return sets
+
+
+def alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose ``sets(node, shingles)`` have the Jaccard similarity."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                both = np.concatenate((np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)))
-                whole = len(np.unique(both))
-                good.append(len(both) - whole >= similarity * whole)
+            both = zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)
+            good = [alike_sets(np.frombuffer(x, np.uint32), [np.frombuffer(y, np.uint32)], similarity)[0] for x, y in both]
             yield b.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
     named = lambda n, c: sets.select(F.col("node").alias(n), F.col("shingles").alias(c))
-    good = written(pairs.join(named("a", "x"), "a").join(named("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint"), "alike")
-    done_with(asked, sets)
-    return good
+    return pairs.join(named("a", "x"), "a").join(named("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, tree: int = 2048) -> DataFrame:
@@ -366,8 +480,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, tree:
 
     Equal-size sets with similarity s have cosine 2s / (1 + s), and a bit differs with probability angle / pi.
     The radius is four standard deviations beyond that, so a pair just at ``similarity`` is a candidate all
-    but 3 times in 100,000; ten bands of two min-hashes meet with 0.99996 at 0.8. Every candidate that
-    linked() checks is compared exactly."""
+    but 3 times in 100,000; ten bands of two min-hashes meet with 0.99996 at 0.8. Every candidate whose
+    component is not its own already is compared exactly."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.xxhash64("doc_id", "text").alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,7 +497,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, tree:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     nodes = prints.groupBy("digest").agg(F.min("row").alias("row"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"), F.any_value("size").alias("size"), first)
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    found = written(linked(nodes, F.col("bands"), radius, None, tree, similarity, lambda pairs: alike_pairs(pairs, nodes, keyed, width, similarity)), "roots")
+    found = written(linked(nodes, F.col("bands"), radius, None, tree, similarity, lambda wanted: node_sets(wanted, nodes, keyed, width)), "roots")
     rooted = written(nodes.join(found, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), "first"), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("first"))
     chosen = written(rooted.select("digest", "root").join(least, "root").select("digest", "first"), "chosen")

@@ -454,6 +454,20 @@ def test_a_large_group_of_near_copies(spark: SparkSession) -> None:
     assert near_groups(spark, texts, tree=32) == reference_copies(texts) == near_groups(spark, texts)
 
 
+def test_links_among_unlike_relatives(spark: SparkSession) -> None:
+    """A family whose pairs lie on both sides of the threshold: each has many candidates that fail, and a
+    link may be far from the nearest of them."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts: list[str | None] = []
+    for _ in range(400):
+        at = set(rng.sample(range(300), rng.choice((4, 5, 5, 6))))
+        texts.append(" ".join(f"e{rng.randrange(10**6)}" if i in at else w for i, w in enumerate(base)))
+    wanted = reference_copies(texts)
+    assert 40 < len(set(wanted.values())) < 360
+    assert near_groups(spark, texts) == wanted == near_groups(spark, texts, tree=64)
+
+
 def test_rows_with_one_id(spark: SparkSession) -> None:
     """Unlike texts under one id are documents of their own; equal rows are kept once by the stage."""
     import corpus_pipeline
@@ -471,7 +485,14 @@ def test_near_copies_in_a_hot_band(spark: SparkSession) -> None:
     values = [rng.getrandbits(512) for _ in range(1100)]
     made = [(2 * i + j, bytearray((v ^ j).to_bytes(64, "big")), 9, [100 + 2 * i + j, 7]) for i, v in enumerate(values) for j in (0, 1)]
     nodes = spark.createDataFrame(made, "node bigint, fp binary, size int, bands array<bigint>")
-    got = {r.node: r.root for r in rows(neardup.linked(nodes, F.col("bands"), 122, None, alike=0.8, check=lambda pairs: common.written(pairs, "links")))}
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        """Nine shingles that both of a pair have."""
+        found = wanted.toPandas()["node"].tolist()
+        shingles = [(n, bytearray(np.arange(n // 2 * 9, n // 2 * 9 + 9, dtype=np.uint32).tobytes())) for n in found]
+        return common.written(spark.createDataFrame(shingles, "node bigint, shingles binary"), "sets")
+
+    got = {r.node: r.root for r in rows(neardup.linked(nodes, F.col("bands"), 122, None, alike=0.8, sets=sets))}
     assert got == {i: i // 2 * 2 for i in range(2200)}
 
 
