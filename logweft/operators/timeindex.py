@@ -55,6 +55,29 @@ def build_index_exact(stamped: DataFrame, interval: int = BUCKET_SECONDS, force_
     return stamped.select(*FILE, "pos", "time", "offset").groupBy(*FILE).applyInPandas(fold, "agent string, path string, seq int, timestamp bigint, offset bigint")
 
 
+def extend_index(entries: DataFrame, stamped: DataFrame, interval: int = BUCKET_SECONDS, force_every: int = FORCE_EVERY) -> DataFrame:
+    """What build_index_exact() gives for files that have grown, from their ``entries`` of before.
+
+    A file's entries but the last two stay; the fold starts anew at the last one before the terminal entry,
+    where its state is that of a first line, so the result equals a new index. Of such files ``stamped`` needs
+    the lines from that offset on (resume_offsets()); earlier ones are passed over. Files without entries are
+    indexed whole, files without lines keep theirs. Lines indexed before must not have changed: a rotated or
+    rewritten file, and any gzip file, goes in without its entries."""
+    restart = resume_offsets(entries).withColumnsRenamed({"offset": "__from", "seq": "__seq"})
+    grown = stamped.join(restart, FILE, "left").where(F.col("__from").isNull() | (F.col("offset") >= F.col("__from")))
+    fresh = build_index_exact(grown, interval, force_every).join(restart, FILE, "left")
+    fresh = fresh.withColumn("seq", F.col("seq") + F.coalesce("__seq", F.lit(0))).select(*FILE, "seq", "timestamp", "offset")
+    cut = restart.join(grown.select(*FILE).distinct(), FILE).select(*FILE, "__seq")
+    kept = entries.join(cut, FILE, "left").where(F.col("__seq").isNull() | (F.col("seq") < F.col("__seq")))
+    return kept.select(*FILE, "seq", "timestamp", "offset").unionByName(fresh)
+
+
+def resume_offsets(entries: DataFrame) -> DataFrame:
+    """(agent, path, seq, offset) of each file's last entry before the terminal one, from build_index_exact()."""
+    last = entries.groupBy(*FILE).agg((F.max("seq") - 1).alias("seq"))
+    return entries.join(last, [*FILE, "seq"]).select(*FILE, "seq", "offset")
+
+
 def with_times(entries: DataFrame, stamped: DataFrame) -> DataFrame:
     """Adds least and most, the least and greatest time of the lines from an entry to the next one: lines
     may come late, so an entry's own timestamp bounds neither."""

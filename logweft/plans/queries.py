@@ -153,6 +153,14 @@ def time_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeindex.build_index_exact(stamped(spark, sf_dir)).withColumn("seq", F.col("seq").cast("bigint"))
 
 
+def time_index_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of each file's first half, extended when the whole file is there."""
+    s = stamped(spark, sf_dir)
+    half = s.groupBy("agent", "path").agg((F.max("pos") / 2).alias("half"))
+    old = timeindex.build_index_exact(s.join(half, ["agent", "path"]).where("pos <= half"))
+    return timeindex.extend_index(old, s).withColumn("seq", F.col("seq").cast("bigint"))
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = stamped(spark, sf_dir)
     return timeindex.with_sequence(timeindex.build_index(s).unionByName(timeindex.terminal_entries(s)))
@@ -331,6 +339,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "time_index": (time_index, f"WITH {S} SELECT * FROM I"),
     "time_index_terminal": (time_index_terminal, f"WITH {S} SELECT * FROM T"),
     "time_index_exact": (time_index_exact, f"WITH {S}, E AS (SELECT *, 0 AS k FROM I UNION ALL SELECT *, 1 FROM T) SELECT agent, path, timestamp, \"offset\", row_number() OVER (PARTITION BY agent, path ORDER BY k, \"offset\") - 1 AS seq FROM E"),
+    "time_index_extended": (time_index_extended, f"WITH {S}, E AS (SELECT *, 0 AS k FROM I UNION ALL SELECT *, 1 FROM T) SELECT agent, path, timestamp, \"offset\", row_number() OVER (PARTITION BY agent, path ORDER BY k, \"offset\") - 1 AS seq FROM E"),
     "index_probe": (index_probe, f"WITH {E} SELECT agent, path, min(\"offset\") AS start_offset, max(upto) AS end_offset FROM G WHERE until IS NOT NULL AND timestamp <= 1704800000 AND until >= 1704700000 GROUP BY agent, path"),
     "index_probe_many": (index_probe_many, f"WITH {E}, Q AS (SELECT i::BIGINT AS request_id, 1704100000 + i * 200000 AS a, 1704150000 + i * 200000 AS b FROM range(8) r(i)) SELECT request_id, agent, path, min(\"offset\") AS start_offset, max(upto) AS end_offset FROM G JOIN Q ON timestamp <= b AND until >= a WHERE until IS NOT NULL GROUP BY request_id, agent, path"),
     "file_bounds": (file_bounds, f"WITH {L} SELECT agent, path, arg_min(time, pos) AS start_time, arg_max(time, pos) AS end_time FROM L GROUP BY agent, path"),

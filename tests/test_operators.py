@@ -67,6 +67,25 @@ def test_index_never_changes_answers(spark: SparkSession) -> None:
     assert plain == pruned and plain
 
 
+def test_extended_index_equals_a_new_one(spark: SparkSession) -> None:
+    """Files that grew, did not, are new, or had no timestamp before; logs out of order and forced entries."""
+    rng = random.Random(26)
+    logs = {f"/f{i}": random_log(rng, 60, i % 2 == 0) for i in range(16)}
+    before = {p: lines[: rng.choice((1, 2, 20, 59, 60))] for p, lines in list(logs.items())[:12]} | {"/idle": random_log(rng, 20, True)}
+    old, now = (timeindex.stamped_offsets(spark.createDataFrame(as_rows(x), RAW)) for x in (before, logs))
+    for force in (3, 50_000):
+        entries = timeindex.build_index_exact(old, force_every=force)
+        starts = timeindex.resume_offsets(entries).withColumnRenamed("offset", "at").drop("seq")
+        tails = now.join(starts, ["agent", "path"], "left").where("at is null or offset >= at").drop("at")
+        wanted = {p: x for p, lines in (logs | {"/idle": before["/idle"]}).items() if (x := model.index(lines, force=force))}
+        for lines in (now, tails):
+            got: dict[str, list] = {}
+            for r in timeindex.extend_index(entries, lines, force_every=force).orderBy("path", "seq").collect():
+                assert r.seq == len(got.setdefault(r.path, []))
+                got[r.path].append((r.timestamp, r.offset))
+            assert got == wanted
+
+
 def test_index_keeps_late_lines(spark: SparkSession, tmp_path: Path) -> None:
     rng = random.Random(16)
     at = 1704067200
