@@ -48,7 +48,7 @@ from .words import U64, grouped, mixed, text_words
 WIDE = 512
 NEAR = 1
 ROW = ["shard", "key", "tree", "node", "fp", "size", "root", "keys", "stored", "compared"]
-#: Words of a tree's sets, on average, at most: sets go into memory in the second turn.
+#: Shingles of a tree's sets, on average, at most: sets go into memory in the second turn.
 WEIGHT = 1 << 22
 BITS = 1 << 23
 #: What tells the places in a shingle, the lanes of a fingerprint and the min-hashes apart.
