@@ -6,6 +6,7 @@ import collections
 import hashlib
 import itertools
 import math
+import pickle
 import random
 import re
 import struct
@@ -160,6 +161,32 @@ def test_fetched_files_are_shared_and_bounded(monkeypatch: pytest.MonkeyPatch, t
     assert sum(f.stat().st_size for f in (tmp_path / "local").iterdir()) <= 3000
 
 
+@pytest.mark.skipif(not shared_files.UNTRACKED, reason="before Python 3.13 a map keeps its file open")
+def test_maps_keep_no_file_open(tmp_path: Path) -> None:
+    made = {f"file:{tmp_path}/f{i}": np.arange(100) + i for i in range(60)}
+    for path, a in made.items():
+        shared_files.save(path, {"a": a, "none": a[:0]})
+    before = len(list(Path("/proc/self/fd").iterdir()))
+    maps = {path: shared_files.load(path) for path in made}
+    assert len(list(Path("/proc/self/fd").iterdir())) < before + 10
+    assert all((maps[p]["a"] == a).all() and not len(maps[p]["none"]) for p, a in made.items())
+
+
+def test_few_maps_give_the_same_scores(spark: SparkSession, sf: str, monkeypatch: pytest.MonkeyPatch) -> None:
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("text").cast("binary").alias("text"))
+    model = lm.train(docs, each=3000)
+    texts = pa.array([r.text for r in docs.limit(40).collect()], pa.binary())
+    logs = []
+    for most, resident in ((20_000, 1 << 30), (3, 0)):
+        monkeypatch.setattr(shared_files, "MAPS", most)
+        monkeypatch.setattr(shared_files, "RESIDENT", resident)
+        fresh = pickle.loads(pickle.dumps(model))
+        ids, n, lengths = lm.encode(fresh.vocabulary, texts)
+        logs.append(fresh.token_logs(ids, fresh.ground(n), lengths))
+    assert len(model.bounds) > 10 and len(fresh.maps.open) <= 3 and fresh.maps.size == sum(len(m) for m, _ in fresh.maps.open.values())
+    assert (logs[0] == logs[1]).all() and len(logs[0]) > 1000
+
+
 def test_elias_fano() -> None:
     rng = np.random.default_rng(1)
     for n, u in ((0, 1), (1, 1), (5, 3), (1000, 100), (1000, 10**6), (20000, 10**12), (3000, 1 << 45)):
