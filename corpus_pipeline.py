@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweft.llm import mixing, neardup, packing, pii, toxicity
-from logweft.llm.common import WORD, documents, written
+from logweft.llm.common import WORD, documents, split_by_bitmap, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL: str | None = None
@@ -37,10 +37,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     marks = groups.groupBy("doc_id", "text_hash").agg(F.bool_or("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows"))
     # only rows that go or repeat are marked; texts that stay need not be dealt anew to find them
     marks = written(marks.where(~F.col("__kept") | (F.col("__rows") > 1)).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}), "marks")
-    same = docs["doc_id"].eqNullSafe(marks["__id"]) & (F.xxhash64("text") == marks["__hash"])
-    alone = docs.join(marks, same, "left_anti").select(COLUMNS)
-    repeated = docs.join(marks.where("__kept"), same).groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("r"))
-    return alone.union(repeated.select("doc_id", "text", "r.lang", "r.source", "r.n_chars"))
+    # nor do they move to be told from the marked ones
+    stay, asked = split_by_bitmap(docs.select(COLUMNS), F.xxhash64("doc_id", F.xxhash64("text")), marks.select(F.xxhash64("__id", "__hash").alias("key")))
+    same = asked["doc_id"].eqNullSafe(marks["__id"]) & (F.xxhash64("text") == marks["__hash"])
+    alone = asked.join(marks, same, "left_anti").select(COLUMNS)
+    repeated = asked.join(marks.where("__kept"), same).groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("r"))
+    return stay.union(alone).union(repeated.select("doc_id", "text", "r.lang", "r.source", "r.n_chars"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

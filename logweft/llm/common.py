@@ -116,6 +116,22 @@ def rank_within(df: DataFrame, keys: Sequence[str], salt: Column, order: Sequenc
     return ranked.withColumn(out, F.col("__from") + F.col("__place")).drop("__salt", "__place", "__from")
 
 
+def split_by_bitmap(df: DataFrame, key: Column, marked: DataFrame, bits: int = 1 << 24) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` that surely have no ``key`` (a hash) among those of ``marked(key)``, and the others.
+
+    The others are those that have one and a few more, so that a join after it moves few of the wide rows. A
+    bitmap of ``bits`` bits decides, whatever the data's size; it comes to the rows as chunks by broadcast."""
+    chunk = 32768
+    place = lambda c: F.pmod(c, F.lit(bits))
+    at = place(F.col("key"))
+    chunks = marked.groupBy((at / chunk).cast("int").alias("__chunk")).agg(F.bitmap_construct_agg((at % chunk).cast("bigint")).alias("__bits"))
+    within = (place(key) % chunk).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.shiftright(within, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    held = df.withColumn("__chunk", (place(key) / chunk).cast("int")).join(F.broadcast(chunks), "__chunk", "left")
+    held = held.withColumn("__may", F.coalesce(F.getbit(byte, within % 8) == 1, F.lit(False)))
+    return held.where(~F.col("__may")).select(df.columns), held.where("__may").select(df.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows (node, root), root the least node reachable.
 

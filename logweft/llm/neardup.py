@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, documents, done_with, written
+from .common import components, documents, done_with, split_by_bitmap, written
 from .words import U64, grouped, mixed, text_words
 
 WIDE = 512
@@ -307,6 +307,7 @@ def placed(nodes: DataFrame, keys: Column, finer: Column | None, tree: int) -> D
     count = F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight")
     shared = written(spread.groupBy("key").agg(*count).where("n > 1"), "shared")
     trees = F.greatest(F.ceil(F.col("n") / tree), F.ceil(F.col("weight") / WEIGHT)).cast("int").alias("trees")
+    spread = split_by_bitmap(spread, F.col("key"), shared)[1]  # few keys are shared, and only their rows move
     at = ["key", "node", "fp", "size", "keys", "n", trees]
     once = spread.join(shared if finer is None else shared.where(F.col("n") <= tree), "key").select(*at)
     large = shared.where(F.col("n") > tree)

@@ -523,6 +523,19 @@ def test_near_copies_in_a_hot_band(spark: SparkSession) -> None:
     assert got == {i: i // 2 * 2 for i in range(2200)}
 
 
+def test_rows_without_shared_keys_do_not_move(spark: SparkSession) -> None:
+    """The join with the shared keys gets next to none of the rows whose keys are their own."""
+    spark.createDataFrame([(i, bytes(64), 9, [i * 10 + j if j else i // 2 if i < 10 else -i for j in range(3)]) for i in range(1, 2000)], "node bigint, fp binary, size int, keys array<bigint>").createOrReplaceTempView("many")
+    nodes = common.written(spark.table("many"), "nodes")
+    asked = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(neardup, "split_by_bitmap", lambda *a: asked.append(common.split_by_bitmap(*a)) or asked[0])
+        table = neardup.placed(nodes, F.col("keys"), None, 100)
+        # key 0 is node 1's alone; 1 to 4 are shared by two each; the other rows' keys are their own
+        assert sorted((r.key, r.node) for r in table.collect()) == [(k, n) for k in range(1, 5) for n in (2 * k, 2 * k + 1)]
+    assert len(asked) == 1
+
+
 def test_components(spark: SparkSession) -> None:
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, i) for i in range(5001, 5200)] + [(7, 7)]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import collections
+from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from logweft.llm import common, neardup, pii
@@ -59,6 +61,36 @@ def test_near_copies_are_linked(spark: SparkSession) -> None:
     assert got == {i: i // 4 * 4 for i in range(len(texts))}
 
 
+def test_bitmap_splits_rows(spark: SparkSession) -> None:
+    df = spark.range(5000).select(F.when(F.col("id") > 0, F.col("id")).alias("id"), F.lit("x").alias("text"))
+    marked = df.where("id % 50 = 0 or id is null").select(F.xxhash64("id").alias("key"))
+    for bits in (1 << 15, 1 << 24):
+        stay, asked = (sorted(-1 if r.id is None else r.id for r in part.collect()) for part in common.split_by_bitmap(df, F.xxhash64("id"), marked, bits))
+        assert sorted(stay + asked) == [-1, *range(1, 5000)] and {-1, *range(50, 5000, 50)} <= set(asked) and len(asked) < 200
+    stay, asked = common.split_by_bitmap(df, F.xxhash64("id"), marked.limit(0))
+    assert stay.count() == 5000 and asked.count() == 0
+
+
+def test_near_dedup_moves_few_texts(spark: SparkSession, tmp_path: Path) -> None:
+    """With more marks than a broadcast holds, rows that stay are not dealt anew; what is kept is right."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(300)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(1000 + i, t, "en", "s", len(t)) for i, t in enumerate(texts[:30])]
+    rows += [(5, texts[5], "de", "r", 1), (None, texts[7] + " more", "en", "s", 3), (400, None, "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/d")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = pipeline.drop_near_copies(spark, spark.read.parquet(f"{tmp_path}/d"), "")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted(map(tuple, out.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted([(i, t, *(("de", "r", 1) if i == 5 else ("en", "s", len(t)))) for i, t in enumerate(texts)] + [(400, None, "en", "s", 0)], key=str)
+    assert plan.startswith("Union")
+    first = out._jdf.queryExecution().sparkPlan().children().apply(0).toString()
+    assert "BroadcastHashJoin" in first and "SortMergeJoin" not in first and "ShuffledHashJoin" not in first
+
+
 def test_run_repeats(spark: SparkSession, sf: str) -> None:
     one, two = (sorted(map(tuple, pipeline.run(spark, sf).select("doc_id", "piece", "length", "ids_crc32").collect())) for _ in range(2))
     assert one == two and len(one) > 0
